@@ -51,10 +51,11 @@ class Series:
 
 
 HELPERS = ("_blk", "_pos", "_len")
+PART_EDGES = ("_from", "_to")  # added by a split: first and past-the-last position of the part
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
-    return df.drop(*HELPERS)
+    return df.drop(*HELPERS, *PART_EDGES)
 
 
 def with_positions(df: DataFrame, s: Series) -> DataFrame:

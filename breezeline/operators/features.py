@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from breezeline.functions.numeric import safe_ratio
-from breezeline.operators.blocks import Series, drop_helpers, ensure_positions, framed
+from breezeline.operators.blocks import (
+    PART_EDGES,
+    Series,
+    drop_helpers,
+    ensure_positions,
+    framed,
+)
 
 # The lag and window sets of the feature recipes.
 LAGS = (1, 2, 3, 6, 12, 24)
@@ -90,33 +96,35 @@ def chronological_split(
     df: DataFrame, s: Series, train: float = 0.70, val: float = 0.15, keep_helpers: bool = False
 ) -> DataFrame:
     """Add ``split`` (train / val / test) by row position; shares are cut with double
-    arithmetic and truncation."""
+    arithmetic and truncation.  The kept helpers include the edges of the row's part."""
     d = ensure_positions(df, s)
-    n = F.col("_len")
-    until_val = train + val
-    label = (
-        F.when(F.col("_pos") < F.floor(n * F.lit(float(train))), "train")
-        .when(F.col("_pos") < F.floor(n * F.lit(float(until_val))), "val")
-        .otherwise("test")
+    pos, n = F.col("_pos"), F.col("_len")
+    first = F.floor(n * F.lit(float(train)))
+    second = F.floor(n * F.lit(float(train + val)))
+    in_train, in_val = pos < first, pos < second
+    out = d.select(
+        "*",
+        F.when(in_train, "train").when(in_val, "val").otherwise("test").alias("split"),
+        F.when(in_train, F.lit(0)).when(in_val, first).otherwise(second).alias("_from"),
+        F.when(in_train, first).when(in_val, second).otherwise(n).alias("_to"),
     )
-    out = d.withColumn("split", label)
     return out if keep_helpers else drop_helpers(out)
 
 
 def supervised_windows(
-    df: DataFrame,
-    s: Series,
-    inputs: Sequence[str],
-    target: str,
-    lookback: int,
-    horizon: int,
-    within: Sequence[str] = (),
+    df: DataFrame, s: Series, inputs: Sequence[str], target: str, lookback: int, horizon: int
 ) -> DataFrame:
     """One row per window start: ``x`` (lookback structs), ``y`` (horizon doubles),
-    ``window_index`` and ``window_count``.  ``within`` (for instance the split) keeps
-    windows from crossing its edges."""
-    part = s.with_keys(*s.keys, *within)
-    d = ensure_positions(drop_helpers(df) if within else df, part)
+    ``window_index`` and ``window_count``.
+
+    On a split frame that kept its helpers no window crosses the edge of a part: frames
+    run over the whole series and windows that would reach past the edge are dropped."""
+    split = [c for c in ("split",) if c in df.columns]
+    d = ensure_positions(df, s)
+    if not set(PART_EDGES) <= set(d.columns):
+        if split:
+            raise ValueError("a split frame must keep its helpers to be cut into windows")
+        d = d.withColumn("_from", F.lit(0)).withColumn("_to", F.col("_len"))
 
     def build(w):
         ahead = w.rowsBetween(0, lookback - 1)
@@ -127,15 +135,11 @@ def supervised_windows(
             F.transform(y, lambda e: e["v"]).alias("y"),
         ]
 
-    count = F.col("_len") - lookback - horizon + 1
-    out = framed(d, part, 0, lookback + horizon - 1, build, keep_helpers=True)
-    return out.where(F.col("_pos") < count).select(
-        *part.keys,
-        s.ts,
-        F.col("_pos").alias("window_index"),
-        count.alias("window_count"),
-        "x",
-        "y",
+    index = F.col("_pos") - F.col("_from")
+    count = F.col("_to") - F.col("_from") - lookback - horizon + 1
+    out = framed(d, s, 0, lookback + horizon - 1, build, keep_helpers=True)
+    return out.where(index < count).select(
+        *s.keys, *split, s.ts, index.alias("window_index"), count.alias("window_count"), "x", "y"
     )
 
 

@@ -21,9 +21,11 @@ from breezeline.operators.blocks import (
     ensure_positions,
     framed,
     neighbours,
+    with_positions,
 )
 from breezeline.operators.grid import bucket_mean, regular_grid
-from breezeline.operators.quantiles import exact_quantiles, wide_quantiles
+from breezeline.operators.quantiles import between, exact_quantiles, order_statistics, wide_quantiles, widen
+from breezeline.session import materialise
 
 STATE = ("l", "lv", "r", "rv", "x")
 
@@ -223,29 +225,73 @@ def monthly_median_fill(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFr
     )
 
 
-def _caps(df: DataFrame, s: Series, cols: Sequence[str], bounds, probs) -> DataFrame:
-    q = wide_quantiles(df, s.keys, cols, probs)
-    joined = df.join(q, list(s.keys), "left")
-    out = []
-    for c in df.columns:
-        if c not in cols:
-            out.append(F.col(c))
-            continue
-        low, high = bounds(*[F.col(f"{p}_{c}") for p in probs])
-        out.append(F.when(low.isNull(), F.col(c)).otherwise(clip(c, low, high)).alias(c))
-    return joined.select(*out)
+def _clip_columns(df: DataFrame, s: Series, cols: Sequence[str], limits: DataFrame) -> DataFrame:
+    """Clip to the ``_low_`` / ``_high_`` columns of the series; a column without any
+    reading has no limits and stays as it is."""
+    joined = df.join(limits, list(s.keys), "left")
+    return joined.select(
+        *[
+            F.when(F.col(f"_low_{c}").isNull(), F.col(c))
+            .otherwise(clip(c, F.col(f"_low_{c}"), F.col(f"_high_{c}")))
+            .alias(c)
+            if c in cols
+            else F.col(c)
+            for c in df.columns
+        ]
+    )
 
 
-def winsorize(df, s, cols, low: float = 0.01, high: float = 0.99):
+def winsorize(df: DataFrame, s: Series, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip every column to its own quantiles, per series."""
-    return _caps(df, s, cols, lambda a, b: (a, b), {"_qa": low, "_qb": high})
+    return _clip_columns(df, s, cols, wide_quantiles(df, s.keys, cols, {"_low": low, "_high": high}))
+
 
+def _fences(q1: Column, q3: Column, k: float) -> tuple[Column, Column]:
+    return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
 
-def iqr_cap(df, s, cols, k: float = 1.5):
+
+def iqr_cap(df: DataFrame, s: Series, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Clip to the quartiles widened by ``k`` inter-quartile ranges, per series."""
-    return _caps(
-        df, s, cols, lambda a, b: (a - k * (b - a), b + k * (b - a)), {"_qa": 0.25, "_qb": 0.75}
+    q = exact_quantiles(df, s.keys, cols, {"q1": 0.25, "q3": 0.75})
+    low, high = _fences(F.col("q1"), F.col("q3"), k)
+    limits = q.select(*s.keys, "metric", low.alias("_low"), high.alias("_high"))
+    return _clip_columns(df, s, cols, widen(limits, s.keys, cols, ["_low", "_high"]))
+
+
+def winsorize_then_iqr_cap(
+    df: DataFrame, s: Series, cols: Sequence[str], low: float = 0.01, high: float = 0.99, k: float = 1.5
+) -> DataFrame:
+    """Both caps from one pass: clipping keeps the order of readings, so the quartiles
+    after the first cap are the clipped order statistics of the raw readings."""
+    o = order_statistics(df, s.keys, cols, {"a": low, "q1": 0.25, "q3": 0.75, "b": high})
+    a, b = (between(F.col(f"lo_{n}"), F.col(f"hi_{n}"), F.col(f"share_{n}")) for n in "ab")
+    o = o.withColumn("_a", a).withColumn("_b", b)
+
+    def quartile(n: str) -> Column:
+        lo, hi = (clip(f"{end}_{n}", F.col("_a"), F.col("_b")) for end in ("lo", "hi"))
+        return between(lo, hi, F.col(f"share_{n}"))
+
+    f1, f3 = _fences(quartile("q1"), quartile("q3"), k)
+    limits = o.select(
+        *s.keys,
+        "metric",
+        F.col("_a").alias("_wlow"),
+        F.col("_b").alias("_whigh"),
+        f1.alias("_low"),
+        f3.alias("_high"),
+    )
+    names = ["_wlow", "_whigh", "_low", "_high"]
+    wide = widen(limits, s.keys, cols, names)
+    # clip(clip(x, wlow, whigh), low, high) as one clip
+    merged = wide.select(
+        *s.keys,
+        *[
+            clip(f"{side}_{c}", F.col(f"_low_{c}"), F.col(f"_high_{c}")).alias(f"{out}_{c}")
+            for c in cols
+            for side, out in (("_wlow", "_low"), ("_whigh", "_high"))
+        ],
     )
+    return _clip_columns(df, s, cols, merged)
 
 
 def threshold_mask(df: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -254,26 +300,22 @@ def threshold_mask(df: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 def impute_for_benchmark(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     """Hourly grid; interpolate 6 rows from both sides; carry 24 rows forward, then 24
-    back; what is left gets the series median."""
-    filled = fill_chain(
-        regular_grid(df, s, cols),
-        s,
-        cols,
-        [linear_step(6, both=True), forward_step(24), backward_step(24)],
-    )
+    back; what is left gets the series median.
+
+    Frames that several branches read are written out once (``materialise``), or every
+    branch would redo all steps before it."""
+    steps = [linear_step(6, both=True), forward_step(24), backward_step(24)]
+    filled = materialise(fill_chain(materialise(regular_grid(df, s, cols)), s, cols, steps))
     return drop_helpers(fill_from_group(filled, s.keys, cols))
 
 
 def impute_for_training(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     """Hourly grid; interpolate 6 rows forward; carry 24 forward; back-fill all; then the
     month's median, then the series median."""
-    filled = fill_chain(
-        regular_grid(df, s, cols),
-        s,
-        cols,
-        [linear_step(6), forward_step(24), backward_step(None)],
-    )
-    return drop_helpers(fill_from_group(monthly_median_fill(filled, s, cols), s.keys, cols))
+    steps = [linear_step(6), forward_step(24), backward_step(None)]
+    filled = materialise(fill_chain(materialise(regular_grid(df, s, cols)), s, cols, steps))
+    by_month = materialise(monthly_median_fill(filled, s, cols))
+    return drop_helpers(fill_from_group(by_month, s.keys, cols))
 
 
 def clean_sensor_feed(
@@ -287,7 +329,10 @@ def clean_sensor_feed(
 ) -> DataFrame:
     """Winsorize, cap outliers, close small gaps, carry forward then back, and average
     into regular bins; the order of the steps matters."""
-    d = winsorize(df, s, cols)
-    d = threshold_mask(d, limits or {}) if method == "threshold" else iqr_cap(d, s, cols)
+    if method == "threshold":
+        d = threshold_mask(winsorize(df, s, cols), limits or {})
+    else:
+        d = winsorize_then_iqr_cap(df, s, cols)
+    d = materialise(with_positions(d, s))
     d = small_gap_fill(d, s, cols, max_gap, then=[forward_step(None), backward_step(None)])
-    return bucket_mean(d, s, cols, bucket_seconds)
+    return bucket_mean(drop_helpers(d), s, cols, bucket_seconds, cut=True)

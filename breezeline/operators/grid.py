@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breezeline.operators.blocks import Series, drop_helpers
+from breezeline.session import materialise
 
 
 def _floor_to(seconds: int, ts: str):
@@ -75,12 +76,16 @@ def regular_grid(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def bucket_mean(df: DataFrame, s: Series, cols: Sequence[str], seconds: int) -> DataFrame:
-    """Mean per regular bin; bins without a reading become null rows."""
+def bucket_mean(
+    df: DataFrame, s: Series, cols: Sequence[str], seconds: int, cut: bool = False
+) -> DataFrame:
+    """Mean per regular bin; bins without a reading become null rows.  ``cut`` writes the
+    bins out before they are read twice, for inputs that are dear to recompute."""
     binned = (
         df.withColumn("_bin", F.timestamp_micros(_floor_to(seconds, s.ts)))
         .groupBy(*s.keys, "_bin")
         .agg(*[F.avg(c).alias(c) for c in cols])
         .withColumnRenamed("_bin", s.ts)
     )
+    binned = materialise(binned) if cut else binned
     return drop_helpers(regular_grid(binned, replace(s, step_seconds=seconds), cols))

@@ -33,11 +33,12 @@ def long_metrics(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
     ).select(*by, "_m.metric", "_m.value")
 
 
-def exact_quantiles(
+def order_statistics(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]
 ) -> DataFrame:
-    """One row per (by, metric) with a linearly interpolated quantile per name in
-    ``probs``.  Groups without a value are absent.  ``by`` columns must be non-null."""
+    """One row per (by, metric): for each name in ``probs`` the two readings around that
+    quantile (``lo_``, ``hi_``) and the share of the way between them (``share_``).
+    Groups without a value are absent.  ``by`` columns must be non-null."""
     keys = [*by, "metric"]
     values = (
         long_metrics(df, by, cols)
@@ -86,23 +87,36 @@ def exact_quantiles(
         here = (F.col("_start") <= position) & (position < F.col("_start") + F.col("_n"))
         return F.max(F.when(here, F.col("value")))
 
-    picked = ranked.groupBy(*keys, "_total").agg(
-        *[
-            agg
-            for name in probs
-            for agg in (
-                at(F.floor(rank[name])).alias(f"_lo_{name}"),
-                at(F.ceil(rank[name])).alias(f"_hi_{name}"),
-            )
-        ]
+    return (
+        ranked.groupBy(*keys, "_total")
+        .agg(
+            *[
+                agg
+                for name in probs
+                for agg in (
+                    at(F.floor(rank[name])).alias(f"lo_{name}"),
+                    at(F.ceil(rank[name])).alias(f"hi_{name}"),
+                )
+            ]
+        )
+        .withColumns({f"share_{name}": rank[name] - F.floor(rank[name]) for name in probs})
+        .drop("_total")
     )
-    return picked.select(
-        *keys,
+
+
+def between(lo: Column, hi: Column, share: Column) -> Column:
+    return lo + (hi - lo) * share
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]
+) -> DataFrame:
+    """One row per (by, metric) with a linearly interpolated quantile per name."""
+    return order_statistics(df, by, cols, probs).select(
+        *by,
+        "metric",
         *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (rank[name] - F.floor(rank[name]))
-            ).alias(name)
+            between(F.col(f"lo_{name}"), F.col(f"hi_{name}"), F.col(f"share_{name}")).alias(name)
             for name in probs
         ],
     )
@@ -112,11 +126,14 @@ def wide_quantiles(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]
 ) -> DataFrame:
     """Same, one row per group with columns ``<name>_<metric>``."""
-    q = exact_quantiles(df, by, cols, probs)
+    return widen(exact_quantiles(df, by, cols, probs), by, cols, list(probs))
+
+
+def widen(q: DataFrame, by: Sequence[str], cols: Sequence[str], names: Sequence[str]) -> DataFrame:
     return q.groupBy(*by).agg(
         *[
             F.max(F.when(F.col("metric") == c, F.col(name))).alias(f"{name}_{c}")
-            for name in probs
+            for name in names
             for c in cols
         ]
     )

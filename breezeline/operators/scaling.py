@@ -81,11 +81,11 @@ def build_dataset(
     """Split, fit on the training part, scale everything with it, cut windows inside
     each split.  Series too short for a window in a split simply have none there;
     ``too_short`` names them."""
-    split = chronological_split(df, s, train, val)
+    split = chronological_split(df, s, train, val, keep_helpers=True)
     cols = list(dict.fromkeys([*inputs, target]))
     scaler = fit_scaler(split.where("split = 'train'"), s.keys, cols, kind)
     scaled = apply_scaler(split, scaler, s.keys, cols)
-    return supervised_windows(scaled, s, inputs, target, lookback, horizon, within=["split"])
+    return supervised_windows(scaled, s, inputs, target, lookback, horizon)
 
 
 def too_short(df: DataFrame, s: Series, need: int) -> DataFrame:

@@ -115,15 +115,16 @@ def prediction_summary(line: DataFrame, key: str = "city_slug", points: int = 4,
     """Current value, mean of the first forecast points, trend label, model shown."""
     future = line.where(F.col("predicted_aqi").isNotNull())
     head = (
-        first_per_key(future, [key], [F.col("timestamp").asc()], points)
+        first_per_key(future, [key], [F.col(c).asc() for c in ("timestamp", "model_type", "predicted_aqi")], points)
         .groupBy(key)
         .agg(F.avg("predicted_aqi").alias("next_mean"))
     )
     usable_conf = F.col("confidence").isNotNull() & (F.col("confidence") != 0)
+    last = F.struct("timestamp", "model_type", "predicted_aqi")
     newest = line.groupBy(key).agg(
         F.max_by("actual_aqi", F.when(F.col("actual_aqi").isNotNull(), F.col("timestamp"))).alias("_cur"),
-        F.max_by("model_type", F.when(F.col("model_type").isNotNull(), F.col("timestamp"))).alias("_model"),
-        F.max_by("confidence", F.when(usable_conf, F.col("timestamp"))).alias("_conf"),
+        F.max_by("model_type", F.when(F.col("model_type").isNotNull(), last)).alias("_model"),
+        F.max_by("confidence", F.when(usable_conf, last)).alias("_conf"),
         F.count("predicted_aqi").alias("forecast_points"),
     )
     current = F.coalesce("_cur", F.lit(0.0))

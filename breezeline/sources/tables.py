@@ -37,13 +37,15 @@ def scan(
     return d.select(*columns) if columns else d
 
 
-def discover_summaries(spark: SparkSession, root: str, kinds: dict[str, str], default: str) -> DataFrame:
+def discover_summaries(
+    spark: SparkSession, root: str, kinds: dict[str, str], default: str, glob: str = "*benchmark_summary*.csv"
+) -> DataFrame:
     """All benchmark summaries below a folder with file path, time, kind."""
     raw = (
         spark.read.schema(BENCHMARK_SUMMARY)
         .option("header", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*benchmark_summary*.csv")
+        .option("pathGlobFilter", glob)
         .csv(root)
     )
     path = F.col("_metadata.file_path")
@@ -121,7 +123,7 @@ def upsert_table(
         existing = existing.join(touched, list(partition_by), "left_semi")
     merged = merge_keyed(existing, incoming, [*dict.fromkeys([*keys, *partition_by])], order, now, first_wins)
     (
-        merged.repartition(*partition_by, *[k for k in keys if k not in partition_by])
+        merged.hint("rebalance", *[F.col(c) for c in partition_by])  # few files, hot partitions split
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)

@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,12 +119,14 @@ def supervised_frame(
 ) -> tuple[DataFrame, list[str]]:
     """Lag features, targets and the chronological split, written once and reused by
     every fit (fits are iterative and must not redo the feature windows)."""
-    d = feature_frame(
-        chronological_split(df, s, keep_helpers=True), s, cols, lags, rolling, (), None, target, horizons
-    )
+    split = chronological_split(df, s, keep_helpers=True)
+    # The series enters as the mean of its own training target: works for any number of
+    # series, where an index of their names would have to pass through the driver.
+    level = split.where("split = 'train'").groupBy(*s.keys).agg(F.avg(target).alias("series_mean"))
+    d = feature_frame(split.join(level, list(s.keys)), s, cols, lags, rolling, (), None, target, horizons)
     names = [f"{c}_lag_{k}h" for c in cols for k in lags]
     names += [f"{c}_roll_{k}h" for c in cols for k in rolling]
-    names += ["hour", "day_of_week", "month", *cols]
+    names += ["hour", "day_of_week", "month", "series_mean", *cols]
     return materialise(d.dropna(subset=names)), names
 
 
@@ -138,27 +140,19 @@ def fit_direct(
     train: Column | None = None,
     **params,
 ) -> dict[int, PipelineModel]:
-    """One model per horizon over all series together, the series being a feature.
+    """One model per horizon over all series together.
 
     Forecasting h hours ahead needs the target h rows later; training rows whose target
     lies past the split edge are dropped by requiring it inside the training part."""
     rows = frame.where("split = 'train'") if train is None else frame.where(train)
-    names = list(features)
-    stages = []
-    if spec != "linear":  # an index is no scale; trees may split on it, lines may not
-        indexed = [f"_ix_{k}" for k in s.keys]
-        stages.append(StringIndexer(inputCols=list(s.keys), outputCols=indexed, handleInvalid="keep"))
-        names += indexed
-        bins = frame.select(*s.keys).distinct().count() + 1
-        params.setdefault("maxBins", max(32, bins))
-    stages.append(VectorAssembler(inputCols=names, outputCol="features"))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     cut = F.floor(F.col("_len") * F.lit(0.70))
     models = {}
     for h in horizons:
         label = f"{target}_h{h}"
         safe = rows.where(F.col(label).isNotNull() & (F.col("_pos") + h < cut))
         model = estimator(spec, featuresCol="features", labelCol=label, predictionCol=f"pred_h{h}", **params)
-        models[h] = Pipeline(stages=[*stages, model]).fit(safe)
+        models[h] = Pipeline(stages=[assembler, model]).fit(safe)
     return models
 
 
@@ -303,7 +297,7 @@ def forecast_var(
         F.max(s.ts).alias("last_ts"),
         F.reverse(F.sort_array(F.collect_list(F.struct(s.ts, *cols)))).alias("_h"),  # `lags` entries
     ).where(F.size("_h") == lags)
-    flat = F.concat(*[F.transform("_h", lambda e, c=c: e[c]) for c in cols])
+    flat = F.concat(*[F.col(f"_h.{c}") for c in cols])
 
     def predict(v: Column) -> Column:
         return F.array(

@@ -23,7 +23,13 @@ from breezeline.sources import tables as T
 from breezeline.sources.ingest import Warehouse, bootstrap_csv, incremental_rows
 from breezeline.streaming import jobs as J
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+
+def now(text: str = "2024-02-01 00:00:00"):
+    """The fixed processing time of these queries."""
+    return F.lit(text).cast("timestamp")
+
 
 PLAIN = ", ".join(rounded([m]) for m in METRICS)
 
@@ -140,7 +146,7 @@ def fact_rows(spark, d, run: str):
         F.col("ts").alias("observed_at"),
         *METRICS,
         F.lit("feed").alias("source"),
-        NOW.alias("ingested_at"),
+        now().alias("ingested_at"),
         F.lit(run).alias("run_id"),
     )
 
@@ -160,7 +166,7 @@ m AS (SELECT coalesce(b.city_slug, a.city_slug) AS city_slug, coalesce(b.observe
 )
 def s08(spark, d):
     path = scratch_path(spark, "observations")
-    later = F.lit("2024-02-02 00:00:00").cast("timestamp")
+    later = now("2024-02-02 00:00:00")
     part = F.to_date("observed_at")
     one = fact_rows(spark, d, "r1").where("us_aqi < 80").withColumn("observed_date", part)
     two = (
@@ -171,7 +177,7 @@ def s08(spark, d):
         .withColumn("observed_date", part)
     )
     key = ["city_slug", "observed_at", "source"]
-    T.upsert_table(spark, path, one, key, ["ingested_at", "run_id"], ["observed_date"], NOW)
+    T.upsert_table(spark, path, one, key, ["ingested_at", "run_id"], ["observed_date"], now())
     T.upsert_table(spark, path, two, key, ["ingested_at", "run_id"], ["observed_date"], later)
     return spark.read.parquet(path).select("city_slug", "observed_at", "run_id", "created_at", "updated_at", "us_aqi")
 
@@ -180,8 +186,8 @@ def s08(spark, d):
 def s09(spark, d):
     path = scratch_path(spark, "cities")
     cities = I.cities(spark, d).drop("city_key")
-    T.seed_cities(spark, path, cities, NOW)
-    T.seed_cities(spark, path, cities, NOW)
+    T.seed_cities(spark, path, cities, now())
+    T.seed_cities(spark, path, cities, now())
     return spark.read.parquet(path).select("city_slug", "city_name", "country", "active")
 
 
@@ -194,8 +200,8 @@ def s10(spark, d):
     o = I.observations(spark, d)
     old = T.new_watermarks(o.where("us_aqi > 60"), "city_slug", "observed_at", "feed")
     new = T.new_watermarks(o, "city_slug", "observed_at", "feed")
-    T.write_dimension(spark, path, old, ["city_slug"], ["updated_at"], NOW)
-    T.write_dimension(spark, path, new, ["city_slug"], ["updated_at"], NOW + F.expr("INTERVAL 1 HOUR"))
+    T.write_dimension(spark, path, old, ["city_slug"], ["updated_at"], now())
+    T.write_dimension(spark, path, new, ["city_slug"], ["updated_at"], now() + F.expr("INTERVAL 1 HOUR"))
     return spark.read.parquet(path).select("city_slug", "last_observed_at", "overlap_hours")
 
 
@@ -219,9 +225,9 @@ def s11(spark, d):
     )
     path = scratch_path(spark, "ledger")
     ledger = A.run_rollup(details)
-    T.write_dimension(spark, f"{path}/runs", ledger, ["run_id"], ["updated_at"], NOW)
+    T.write_dimension(spark, f"{path}/runs", ledger, ["run_id"], ["updated_at"], now())
     notes = details.withColumn("details", F.to_json(F.struct("city_slug", "status", "error")))
-    T.write_dimension(spark, f"{path}/details", notes, ["run_id", "city_slug"], ["updated_at"], NOW)
+    T.write_dimension(spark, f"{path}/details", notes, ["run_id", "city_slug"], ["updated_at"], now())
     errors = (
         spark.read.parquet(f"{path}/details")
         .groupBy("run_id")
@@ -242,9 +248,9 @@ def s12(spark, d):
     path = scratch_path(spark, "forecasts")
     f = I.forecasts(spark, d)
     missing = F.when(F.col("predicted_us_aqi") <= 100, F.col("predicted_us_aqi"))
-    T.upsert_forecasts(spark, path, f.withColumn("predicted_us_aqi", missing), NOW)
+    T.upsert_forecasts(spark, path, f.withColumn("predicted_us_aqi", missing), now())
     again = f.withColumn("predicted_us_aqi", missing + 1).withColumn("city_name", F.lit("renamed"))
-    T.upsert_forecasts(spark, path, again, NOW)
+    T.upsert_forecasts(spark, path, again, now())
     return spark.read.parquet(path).select("forecast_id", "city_slug", "city_name", "horizon_hours", "predicted_us_aqi")
 
 
@@ -259,7 +265,7 @@ def _bootstrap(spark, d):
     rows.write.option("header", True).csv(f"{root}/landing")
     wh = Warehouse(f"{root}/tables")
     cities = I.cities(spark, d).where("country <> 'EUROPE'")
-    bootstrap_csv(spark, wh, f"{root}/landing", cities, "boot-1", "feed", NOW)
+    bootstrap_csv(spark, wh, f"{root}/landing", cities, "boot-1", "feed", now())
     return wh
 
 
@@ -286,7 +292,7 @@ def s13(spark, d):
 )
 def s14(spark, d):
     root = scratch_path(spark, "archive")
-    T.archive_csv(fact_rows(spark, d, "r1").drop("run_id"), root, "city_slug", "r1", NOW)
+    T.archive_csv(fact_rows(spark, d, "r1").drop("run_id"), root, "city_slug", "r1", now())
     back = (
         spark.read.option("header", True)
         .schema("observed_at string, city_slug string, yyyy string, mm string, dd string, run_id string")
@@ -313,7 +319,7 @@ SNAP_SQL = f"""SELECT 'xgboost' AS model, city_slug AS city, strftime(horizon_ti
 def _snapshot_rows(spark, d):
     path = scratch_path(spark, "snapshot")
     nudged = baseline(spark, d).withColumn("predicted", F.col("predicted") + 1e-9)
-    T.write_json(S.snapshot_documents(nudged, "xgboost", NOW), path)
+    T.write_json(S.snapshot_documents(nudged, "xgboost", now()), path)
     return S.snapshot_timeline(spark.read.schema(SNAPSHOT).json(path))
 
 
@@ -487,7 +493,7 @@ def t08(spark, d):
     broken_docs(spark, d).select("city", "body").write.json(f"{root}/landing")
     wh = Warehouse(f"{root}/tables")
     stream = J.file_stream(spark, f"{root}/landing", P_SCHEMA)
-    J.run_available(stream, f"{root}/state", J.ingest_batches(spark, wh, I.cities(spark, d), "feed", NOW))
+    J.run_available(stream, f"{root}/state", J.ingest_batches(spark, wh, I.cities(spark, d), "feed", now()))
     runs = wh.read(spark, "runs").select("run_id", F.col("status").alias("run_status"))
     detail = wh.read(spark, "run_details").select("run_id", "city_slug", "status", "rows_upserted")
     return detail.join(runs, "run_id").drop("run_id")
@@ -503,7 +509,7 @@ def t10(spark, d):
     rows = forecast_rows(
         baseline(spark, d), F.col("last_ts"), "Persistence+Trend", "1.0", confidence=F.lit(0.7), baseline_ids=True
     )
-    T.upsert_forecasts(spark, path, rows, NOW)
+    T.upsert_forecasts(spark, path, rows, now())
     return spark.read.parquet(path).select("city_slug", "horizon_hours", "horizon_timestamp", "predicted_us_aqi")
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from breezeline.functions.text import city_slug
 from breezeline.operators.aggregate import run_rollup
-from breezeline.operators.rank import first_per_key
-from breezeline.schema import METRICS, OBSERVATION_KEY, OVERLAP_HOURS
+from breezeline.schema import METRICS, OBSERVATION_KEY, OVERLAP_HOURS, RAW_OBSERVATIONS
 from breezeline.session import materialise
 from breezeline.sources.clean import normalise_observations, read_window, repair_columns
 from breezeline.sources.tables import (
@@ -38,9 +37,7 @@ class Warehouse:
 def as_observations(rows: DataFrame, cities: DataFrame, source: str, run: str, ingested_at: Column) -> DataFrame:
     """Normalised rows of known cities in the fact-table layout.  Unknown names go out
     by the inner join (``cities`` carries city_slug, city_name)."""
-    known = F.broadcast(cities.select("city_slug", "city_name")) if _small(cities) else cities.select(
-        "city_slug", "city_name"
-    )
+    known = cities.select("city_slug", "city_name")
     return (
         rows.withColumn("city_slug", city_slug("city"))
         .join(known, "city_slug")
@@ -56,12 +53,6 @@ def as_observations(rows: DataFrame, cities: DataFrame, source: str, run: str, i
     )
 
 
-def _small(df: DataFrame, limit: int = 8 * 1024 * 1024) -> bool:
-    """Does the optimizer's own size estimate prove the frame fits to broadcast?"""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
-
-
 def write_observations(spark: SparkSession, wh: Warehouse, rows: DataFrame, now: Column) -> None:
     upsert_table(
         spark,
@@ -106,8 +97,6 @@ def bootstrap_csv(
 ) -> None:
     """Whole-file load: repair names, drop unreadable times, keep known cities, archive,
     upsert, watermarks, ledger — one job per table, whatever the number of cities."""
-    from breezeline.schema import RAW_OBSERVATIONS
-
     raw = repair_columns(spark.read.option("header", True).csv(path), RAW_OBSERVATIONS.fieldNames())
     rows = as_observations(normalise_observations(raw, strict=False), cities, source, run, now)
     rows = materialise(rows)  # read once, used by four writes

@@ -56,10 +56,7 @@ def encode_day(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     row = F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm").alias("time"), *METRICS)
     listed = F.array_sort(F.collect_list(row))
     days = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(listed.alias("_rows"))
-    hourly = F.struct(
-        F.transform("_rows", lambda r: r["time"]).alias("time"),
-        *[F.transform("_rows", lambda r, m=m: r[m]).alias(m) for m in METRICS],
-    )
+    hourly = F.struct(*[F.col(f"_rows.{c}").alias(c) for c in ("time", *METRICS)])
     return days.select(
         *keys, "day", F.to_json(F.struct(hourly.alias("hourly")), {"ignoreNullFields": "false"}).alias("body")
     )

@@ -35,7 +35,7 @@ class Series:
     keys: tuple[str, ...] = ("city_slug",)
     ts: str = "ts"
     step_seconds: int = 3600
-    block_rows: int = 4096
+    block_rows: int = 65536
 
     def with_keys(self, *keys: str) -> "Series":
         return replace(self, keys=tuple(keys))
@@ -197,8 +197,8 @@ def global_positions(df: DataFrame, order: Sequence[Column], name: str = "rank")
     """1-based position in a global order, without a window over the whole frame.
 
     The range-partitioned sort numbers rows inside each sorted partition; only the
-    per-partition counts are summed.  The sorted frame is checkpointed because the
-    sampled range bounds must be the same for counting and for numbering.
+    per-partition counts are summed.  The numbered frame is written out because
+    the sampled range bounds must be the same for counting and for ranking.
     """
     numbered = materialise(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", 33)

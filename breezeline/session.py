@@ -47,9 +47,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that survives executor loss."""
+    """Cut the lineage: write the frame as a table in the shared folder and read it back.
+
+    Unlike an executor-local copy this survives the loss of executors, and unlike a row
+    checkpoint the table is columnar: later branches read only the columns they use, and
+    the optimizer knows its real size when it picks join strategies."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_root(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

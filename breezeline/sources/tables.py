@@ -194,7 +194,7 @@ def archive_csv(df: DataFrame, root: str, slug: str, run: str, run_end: Column)
         .withColumn("mm", F.date_format(run_end, "MM"))
         .withColumn("dd", F.date_format(run_end, "dd"))
         .withColumn("run_id", F.lit(run))
-        .repartition(slug)
+        .hint("rebalance", F.col(slug))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("header", True)

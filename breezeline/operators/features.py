@@ -131,15 +131,21 @@ def supervised_windows(
         later = w.rowsBetween(lookback, lookback + horizon - 1)
         y = F.collect_list(F.struct(F.col(target).alias("v"))).over(later)
         return [
-            F.collect_list(F.struct(*inputs)).over(ahead).alias("x"),
-            F.transform(y, lambda e: e["v"]).alias("y"),
+            F.collect_list(F.struct(*inputs)).over(ahead).alias("_x"),
+            F.transform(y, lambda e: e["v"]).alias("_y"),
         ]
 
     index = F.col("_pos") - F.col("_from")
     count = F.col("_to") - F.col("_from") - lookback - horizon + 1
     out = framed(d, s, 0, lookback + horizon - 1, build, keep_helpers=True)
     return out.where(index < count).select(
-        *s.keys, *split, s.ts, index.alias("window_index"), count.alias("window_count"), "x", "y"
+        *s.keys,
+        *split,
+        s.ts,
+        index.alias("window_index"),
+        count.alias("window_count"),
+        F.col("_x").alias("x"),
+        F.col("_y").alias("y"),
     )
 
 

@@ -101,6 +101,10 @@ SPECS: dict[str, Callable[..., object]] = {
 BOOSTED_NAMES = ("xgboost", "lightgbm", "catboost")
 
 
+class TooFewRows(ValueError):
+    """No complete training row is left for a horizon."""
+
+
 def estimator(name: str, **params):
     key = "gradient_boosting" if name in BOOSTED_NAMES else name
     if key not in SPECS:
@@ -151,6 +155,8 @@ def fit_direct(
     for h in horizons:
         label = f"{target}_h{h}"
         safe = rows.where(F.col(label).isNotNull() & (F.col("_pos") + h < cut))
+        if safe.isEmpty():
+            raise TooFewRows(f"no training row {h} rows ahead")
         model = estimator(spec, featuresCol="features", labelCol=label, predictionCol=f"pred_h{h}", **params)
         models[h] = Pipeline(stages=[assembler, model]).fit(safe)
     return models
@@ -253,11 +259,16 @@ def learning_curve(
         part = (F.col("split") == "train") & (
             F.col("_pos") < F.floor(F.col("_len") * F.lit(0.70) * F.lit(float(share)))
         )
-        models = fit_direct(frame, s, features, target, [horizon], spec, train=part)
-        scored = predict_direct(models, frame.where("split = 'val'"), s, target)
-        row = regression_metrics(scored, [], "actual", "predicted").select(
-            F.lit(float(share)).alias("fraction"), "n", "rmse", "mae", "r2"
-        )
+        score = ["n", "rmse", "mae", "r2"]
+        try:
+            models = fit_direct(frame, s, features, target, [horizon], spec, train=part)
+            scored = predict_direct(models, frame.where("split = 'val'"), s, target)
+            row = regression_metrics(scored, [], "actual", "predicted").select(*score)
+        except TooFewRows:  # the smallest shares of short series
+            row = frame.sparkSession.range(1).select(
+                F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(m) for m in score[1:]]
+            )
+        row = row.select(F.lit(float(share)).alias("fraction"), *score)
         out = row if out is None else out.unionByName(row)
     return out
 

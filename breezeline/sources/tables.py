@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +100,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    """The table, or None where nothing has been written yet (a first batch without a
+    usable row leaves an empty folder)."""
+    if not _exists(spark, path):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
+
+
+def only_touched(table: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
+    """The table cut down to the partitions that ``rows`` touch.
+
+    The distinct partition values come to the driver as literals: they are directory
+    names, as few as the directories the write lists anyway, and with literals the scan
+    is pruned before it starts (a semi join without a filter would not prune)."""
+    values = [row[0] for row in rows.select(partition).distinct().collect()]
+    return table.where(F.col(partition).isin(values))
 
 
 def upsert_table(
@@ -114,13 +134,12 @@ def upsert_table(
 ) -> None:
     """Merge into a partitioned parquet table, rewriting only the touched partitions.
 
-    Old rows are read from the touched partitions only (a semi join the scan prunes
-    on); dynamic overwrite stages the new files and swaps whole partitions at commit,
-    so a lost executor or a repeated batch leaves the same table."""
+    Old rows are read from the touched partitions only; dynamic overwrite stages the new
+    files and swaps whole partitions at commit, so a lost executor or a repeated batch
+    leaves the same table.  ``incoming`` is read twice."""
     existing = read_if_there(spark, path)
     if existing is not None:
-        touched = incoming.select(*partition_by).distinct()
-        existing = existing.join(touched, list(partition_by), "left_semi")
+        existing = only_touched(existing, incoming, partition_by[0])
     merged = merge_keyed(existing, incoming, [*dict.fromkeys([*keys, *partition_by])], order, now, first_wins)
     (
         merged.hint("rebalance", *[F.col(c) for c in partition_by])  # few files, hot partitions split

@@ -16,7 +16,7 @@ from breezeline.schema import METRICS
 from breezeline.session import materialise
 from breezeline.sources.ingest import Warehouse, as_observations, record_run, write_observations
 from breezeline.sources.payload import decode_payloads
-from breezeline.sources.tables import new_watermarks, upsert_table, write_dimension
+from breezeline.sources.tables import new_watermarks, only_touched, upsert_table, write_dimension
 
 
 def file_stream(
@@ -53,9 +53,11 @@ def refresh_touched_hours(
     hours = touched.select(
         "city_slug", F.date_trunc("hour", "observed_at").alias("hour"), F.to_date("observed_at").alias("observed_date")
     ).distinct()
+    table = wh.read(spark, "observations")
+    if table is None:
+        return
     facts = (
-        spark.read.parquet(wh.path("observations"))
-        .join(hours.select("observed_date").distinct(), "observed_date", "left_semi")
+        only_touched(table, hours, "observed_date")
         .withColumn("hour", F.date_trunc("hour", "observed_at"))
         .join(hours.select("city_slug", "hour"), ["city_slug", "hour"], "left_semi")
     )
@@ -169,10 +171,10 @@ def touched_bucket_batches(
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = materialise(batch.withColumn("d", F.to_date(ts)))
         upsert_table(spark, facts, rows, key, order, ["d"])
-        days = rows.select("d").distinct()
-        fresh = bucket_aggregate(
-            spark.read.parquet(facts).join(days, "d", "left_semi"), "hour", group, ts, metrics, stddev=()
-        ).withColumn("d", F.to_date("hour"))
+        days = only_touched(spark.read.parquet(facts), rows, "d")
+        fresh = bucket_aggregate(days, "hour", group, ts, metrics, stddev=()).withColumn(
+            "d", F.to_date("hour")
+        )
         upsert_table(spark, buckets, fresh, [*group, "hour"], ["updated_at"], ["d"])
 
     return handle

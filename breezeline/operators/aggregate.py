@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeline.operators.blocks import Series
-from breezeline.operators.quantiles import exact_quantiles, long_metrics
+from breezeline.operators.quantiles import exact_quantiles, long_metrics, wide_quantiles
 
 
 def bucket_aggregate(
@@ -50,37 +50,36 @@ def newest(df: DataFrame, ts: str) -> DataFrame:
 
 def city_statistics(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     """count, mean, median, std, min, max per (key, metric) over readings."""
-    basic = (
-        long_metrics(df, [key], metrics)
-        .where("value is not null")
-        .groupBy(key, "metric")
-        .agg(
-            F.count(F.lit(1)).alias("readings"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
+    parts = {"readings": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    reduced = df.groupBy(key).agg(
+        *[F.struct(*[fn(m).alias(p) for p, fn in parts.items()]).alias(m) for m in metrics]
     )
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("s")) for m in metrics])
+    basic = reduced.select(key, F.explode(rows).alias("r")).select(key, "r.metric", "r.s.*")
     return basic.join(exact_quantiles(df, [key], metrics, {"median": 0.5}), [key, "metric"])
 
 
-def wide_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], ts: str) -> DataFrame:
-    """One wide row per group; the null group is kept."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.min(ts).alias("first_ts"),
-        F.max(ts).alias("last_ts"),
+def wide_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """count, mean, median, std, min, max of every metric in one wide row per group; the
+    null group is kept."""
+    basic = df.groupBy(*keys).agg(
         *[
             agg
             for m in metrics
             for agg in (
+                F.count(m).alias(f"{m}_count"),
                 F.avg(m).alias(f"{m}_mean"),
+                F.stddev_samp(m).alias(f"{m}_std"),
                 F.min(m).alias(f"{m}_min"),
                 F.max(m).alias(f"{m}_max"),
             )
-        ],
+        ]
     )
+    medians = wide_quantiles(df, keys, metrics, {"q": 0.5})
+    right = medians.select(
+        F.struct(*keys).alias("_k"), *[F.col(f"q_{m}").alias(f"{m}_median") for m in metrics]
+    )
+    return basic.withColumn("_k", F.struct(*keys)).join(right, "_k", "left").drop("_k")
 
 
 def monthly_trend(df: DataFrame, keys: Sequence[str], ts: str, metrics: Sequence[str]) -> DataFrame:
@@ -264,16 +263,17 @@ def archive_ledger(df: DataFrame, keys: Sequence[str], ts: str, as_of: Column, r
 
 
 def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, nulls, mean, std, min, max per column."""
-    return (
-        long_metrics(df, [], cols)
-        .groupBy("metric")
-        .agg(
-            F.count("value").alias("count"),
-            F.count_if(F.col("value").isNull()).alias("nulls"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
+    """count, nulls, mean, std, min, quartiles, max per numeric column."""
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    reduced = df.agg(
+        *[
+            F.struct(
+                F.count_if(F.col(c).isNull()).alias("nulls"), *[fn(c).alias(p) for p, fn in parts.items()]
+            ).alias(c)
+            for c in cols
+        ]
     )
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("s")) for c in cols])
+    basic = reduced.select(F.explode(rows).alias("r")).select("r.metric", "r.s.*")
+    quartiles = exact_quantiles(df, [], cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return basic.join(quartiles, "metric", "left")

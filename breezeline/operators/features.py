@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -166,10 +167,11 @@ def limit_windows(df: DataFrame, max_count: int) -> DataFrame:
     return df.where((n <= max_count) | hit)
 
 
-def flat_windows(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    """``x`` flattened row by row into one array of doubles."""
+def flat_windows(df: DataFrame, inputs: Sequence[str], as_vector: bool = False) -> DataFrame:
+    """``x`` flattened row by row into one array of doubles, or a vector for Spark ML."""
     rows = F.transform("x", lambda e: F.array(*[e[c].cast("double") for c in inputs]))
-    return df.withColumn("features", F.flatten(rows))
+    flat = F.flatten(rows)
+    return df.withColumn("features", array_to_vector(flat) if as_vector else flat)
 
 
 def tail(df: DataFrame, s: Series, k: int) -> DataFrame:

@@ -38,12 +38,14 @@ def order_statistics(
 ) -> DataFrame:
     """One row per (by, metric): for each name in ``probs`` the two readings around that
     quantile (``lo_``, ``hi_``) and the share of the way between them (``share_``).
-    Groups without a value are absent.  ``by`` columns must be non-null."""
-    keys = [*by, "metric"]
+    Groups without a value are absent.  The group columns travel as one struct, which
+    also equals itself where a column is null."""
+    keys = ["_by", "metric"]
+    group = F.struct(*by) if by else F.lit(0)
     values = (
         long_metrics(df, by, cols)
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*keys, "value")
+        .groupBy(group.alias("_by"), "metric", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_cell", _cell(F.col("value")))
     )
@@ -99,8 +101,12 @@ def order_statistics(
                 )
             ]
         )
-        .withColumns({f"share_{name}": rank[name] - F.floor(rank[name]) for name in probs})
-        .drop("_total")
+        .select(
+            *[F.col(f"_by.{c}").alias(c) for c in by],
+            "metric",
+            *[f"{end}_{name}" for name in probs for end in ("lo", "hi")],
+            *[(rank[name] - F.floor(rank[name])).alias(f"share_{name}") for name in probs],
+        )
     )
 
 

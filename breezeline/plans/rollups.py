@@ -109,12 +109,18 @@ ST = ("pm2_5", "pm10", "no2", "so2")
 @query(
     "a07_station_summary",
     cte("stations")
-    + "SELECT station, count(*) AS row_count, min(ts) AS first_ts, max(ts) AS last_ts, "
-    + ", ".join(f"{r6(f'avg({m})', f'{m}_mean')}, {r6(f'min({m})', f'{m}_min')}, {r6(f'max({m})', f'{m}_max')}" for m in ST)
+    + "SELECT station, "
+    + ", ".join(
+        f"count({m}) AS {m}_count, " + ", ".join(
+            r6(f"{fn}({m})", f"{m}_{name}")
+            for name, fn in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))
+        )
+        for m in ST
+    )
     + " FROM stations GROUP BY 1",
 )
 def a07(spark, d):
-    return A.wide_summary(I.stations(spark, d), ["station"], ST, "ts")
+    return A.wide_summary(I.stations(spark, d), ["station"], ST)
 
 
 @query(
@@ -411,7 +417,9 @@ def a27(spark, d):
     cte("stations")
     + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, count({m}) AS count, count(*) - count({m}) AS nulls, {r6(f'avg({m})', 'mean')}, "
-        f"{r6(f'stddev_samp({m})', 'std')}, {r6(f'min({m})', 'min')}, {r6(f'max({m})', 'max')} FROM stations"
+        f"{r6(f'stddev_samp({m})', 'std')}, {r6(f'min({m})', 'min')}, {r6(f'max({m})', 'max')}, "
+        + ", ".join(r6(f"quantile_cont({m}, 0.{q})", f"q{q}") for q in (25, 50, 75))
+        + " FROM stations"
         for m in (*ST, "humidity_pct")
     ),
 )

@@ -56,13 +56,13 @@ def pick_column(columns: Sequence[str], words: Sequence[str]) -> str | None:
 
 # Words that identify a metric column of a station file.
 STATION_COLUMNS = {
-    "pm2_5": ("pm2.5",),
+    "pm2_5": ("pm2", "5"),
     "pm10": ("pm10",),
     "no2": ("no2",),
     "so2": ("so2",),
     "co_mg_m3": ("co", "mg"),
     "ozone": ("ozone",),
-    "temperature_c": ("at", "c)"),
+    "temperature_c": ("at",),
     "humidity_pct": ("rh",),
 }
 # Sensor feed fields and the metrics they carry.

@@ -189,8 +189,8 @@ def check_forecasts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def upsert_forecasts(spark: SparkSession, path: str, df: DataFrame, now: Column | None = None) -> DataFrame:
-    """Load forecasts by forecast_id; identity columns keep their first value and the
-    predictions are replaced.  Returns the rejected rows."""
+    """Load forecasts by forecast_id; identity columns keep their first value, the
+    predictions of the latest load replace earlier ones.  Returns the rejected rows."""
     good, bad = check_forecasts(df)
     day = good.withColumn("issue_date", F.to_date("forecast_timestamp"))
     upsert_table(
@@ -198,10 +198,10 @@ def upsert_forecasts(spark: SparkSession, path: str, df: DataFrame, now: Column
         path,
         day,
         ["forecast_id"],
-        ["forecast_timestamp"],
+        ["updated_at", "forecast_timestamp"],
         ["issue_date"],
         now,
-        first_wins=("city_slug", "city_name"),
+        first_wins=("city_slug", "city_name", "forecast_timestamp", "horizon_timestamp", "horizon_hours"),
     )
     return bad
 
@@ -235,5 +235,22 @@ def write_city_csv(df: DataFrame, root: str, key: str, ts: str) -> None:
     )
 
 
+def write_combined_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
+    """All series in one CSV folder, optionally compressed."""
+    writer = df.write.mode("overwrite").option("header", True)
+    (writer.option("compression", "gzip") if gzip else writer).csv(path)
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """Paths, sizes and times of the files below a folder; contents are not read."""
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .load(root)
+        .select("path", "length", "modificationTime")
+    )
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

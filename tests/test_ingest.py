@@ -173,3 +173,24 @@ def test_rejected_forecasts_say_why(spark):
     df = spark.createDataFrame([("f1", "a", "A", t, t, 1, 5.0, "m", 0.5), ("f2", "a", "A", t, t, 1, None, "m", None)], cols)
     good, bad = T.check_forecasts(df)
     assert good.count() == 1 and bad.first()["problem"] == "missing predicted_us_aqi, confidence"
+
+
+def test_second_load_replaces_predictions_and_keeps_identity(spark, tmp_path):
+    path = str(tmp_path / "forecasts")
+    cols = "forecast_id string, city_slug string, city_name string, forecast_timestamp timestamp, horizon_timestamp timestamp, horizon_hours int, predicted_us_aqi double, model_type string, confidence double"
+    t, later = at("2026-01-01"), at("2026-01-01 05:00")
+    one = spark.createDataFrame([("f1", "a", "A", later, later, 1, 5.0, "m1", 0.5)], cols)
+    two = spark.createDataFrame([("f1", "b", "B", t, t, 2, 6.0, "m2", 0.6)], cols)
+    T.upsert_forecasts(spark, path, one, stamp("2026-01-02 00:00:00"))
+    T.upsert_forecasts(spark, path, two, stamp("2026-01-02 01:00:00"))
+    (r,) = spark.read.parquet(path).collect()
+    assert (r["city_slug"], r["city_name"], r["horizon_hours"], r["forecast_timestamp"]) == ("a", "A", 1, later)
+    assert (r["predicted_us_aqi"], r["model_type"], r["confidence"]) == (6.0, "m2", 0.6)
+    assert r["created_at"] == at("2026-01-02") and r["updated_at"] == at("2026-01-02 01:00")
+
+
+def test_files_are_listed_and_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0)], "city string, v double")
+    T.write_combined_csv(df, str(tmp_path / "all"), gzip=True)
+    (f,) = T.list_files(spark, str(tmp_path), "*.gz").collect()
+    assert f["path"].endswith(".csv.gz") and f["length"] > 0

@@ -192,5 +192,5 @@ def test_second_load_replaces_predictions_and_keeps_identity(spark, tmp_path):
 def test_files_are_listed_and_written(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "city string, v double")
     T.write_combined_csv(df, str(tmp_path / "all"), gzip=True)
-    (f,) = T.list_files(spark, str(tmp_path), "*.gz").collect()
-    assert f["path"].endswith(".csv.gz") and f["length"] > 0
+    files = T.list_files(spark, str(tmp_path), "*.gz").collect()
+    assert files and all(f["path"].endswith(".csv.gz") and f["length"] > 0 for f in files)

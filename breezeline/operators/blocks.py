@@ -122,20 +122,31 @@ def framed(
 
 def neighbours(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     """For every column ``c`` add the nearest non-null reading at or before the row
-    (``_pp_c``, ``_pv_c``: position, value) and at or after it (``_np_c``, ``_nv_c``)."""
-    d = ensure_positions(df, s)
+    (``_pp_c``, ``_pv_c``: position, value) and at or after it (``_np_c``, ``_nv_c``).
+
+    Frames without positions get them on the way: the one summary per block carries its
+    row count and its outermost readings, so rows are shuffled once, by block."""
+    known = set(HELPERS) <= set(df.columns)
     by = [*s.keys, "_blk"]
-    back = Window.partitionBy(*by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    if known:
+        d, here = df, F.col("_pos")
+    else:
+        d = df.withColumn("_blk", s.block())
+        d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(s.ts)))
+        here = F.col("_rn")
+    order = "_pos" if known else "_rn"
+    back = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     ahead = (
         Window.partitionBy(*by)
-        .orderBy(F.col("_pos").desc())
+        .orderBy(F.col(order).desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
 
     def at(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.col("_pos"))
+        return F.when(F.col(c).isNotNull(), here)
 
     ends = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
         *[
             agg
             for c in cols
@@ -145,23 +156,30 @@ def neighbours(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
                 F.max(at(c)).alias(f"_lp_{c}"),
                 F.max_by(F.col(c), at(c)).alias(f"_lv_{c}"),
             )
-        ]
+        ],
     )
-    up = Window.partitionBy(*s.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*s.keys).orderBy("_blk")
+    up = along.rowsBetween(Window.unboundedPreceding, -1)
     down = (
         Window.partitionBy(*s.keys)
         .orderBy(F.col("_blk").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # _off turns the order inside a block into the position in the series.
+    offset = F.lit(0) if known else F.coalesce(F.sum("_n").over(up), F.lit(0)) - 1
+    ends = ends.withColumn("_off", offset)
+    length = [] if known else [F.sum("_n").over(Window.partitionBy(*s.keys)).alias("_len")]
     carries = ends.select(
         *by,
+        "_off",
+        *length,
         *[
             col
             for c in cols
             for col in (
-                F.last(f"_lp_{c}", True).over(up).alias(f"_cpp_{c}"),
+                F.last(F.col(f"_lp_{c}") + F.col("_off"), True).over(up).alias(f"_cpp_{c}"),
                 F.last(f"_lv_{c}", True).over(up).alias(f"_cpv_{c}"),
-                F.last(f"_fp_{c}", True).over(down).alias(f"_cnp_{c}"),
+                F.last(F.col(f"_fp_{c}") + F.col("_off"), True).over(down).alias(f"_cnp_{c}"),
                 F.last(f"_fv_{c}", True).over(down).alias(f"_cnv_{c}"),
             )
         ],
@@ -179,10 +197,15 @@ def neighbours(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
             )
         ],
     )
+    positions = [] if known else ["_blk", (F.col("_off") + F.col("_rn")).alias("_pos"), "_len"]
     return local.join(carries, by).select(
-        *d.columns,
+        *df.columns,
+        *positions,
         *[
-            F.coalesce(f"_b{side}_{c}", f"_c{side}_{c}").alias(f"_{side}_{c}")
+            F.coalesce(
+                F.col(f"_b{side}_{c}") + F.col("_off") if side[1] == "p" else F.col(f"_b{side}_{c}"),
+                F.col(f"_c{side}_{c}"),
+            ).alias(f"_{side}_{c}")
             for c in cols
             for side in ("pp", "pv", "np", "nv")
         ],

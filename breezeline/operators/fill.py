@@ -17,8 +17,6 @@ from breezeline.functions.numeric import capped, clip
 from breezeline.operators.blocks import (
     Series,
     drop_helpers,
-    drop_neighbours,
-    ensure_positions,
     framed,
     neighbours,
     with_positions,

@@ -10,7 +10,7 @@ from breezeline.operators.fill import fill_chain, linear_step
 from breezeline.operators.grid import bucket_mean, regular_grid
 from breezeline.operators.rank import latest
 from breezeline.plans import inputs as I
-from breezeline.plans.inputs import HOURLY, SENSOR, cte, query, r6, rounded
+from breezeline.plans.inputs import HOURLY, SENSOR, cte, query, r6
 from breezeline.schema import METRICS
 from breezeline.sources.tables import new_watermarks
 

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from breezeline.functions.catalog import city_catalog
 from breezeline.operators import aggregate as A
 from breezeline.operators import serve as S
-from breezeline.operators.features import tail
 from breezeline.operators.fill import impute_for_training
 from breezeline.operators.forecast import forecast_rows
 from breezeline.operators.rank import latest
 from breezeline.plans import inputs as I
 from breezeline.plans.inputs import FILLED, HOURLY, cte, query, r6, rounded
 from breezeline.plans.ordered import BASE_SQL, baseline
-from breezeline.plans.rollups import LATEST_SQL
-from breezeline.schema import BENCHMARK_SUMMARY, METRICS, OBSERVATIONS, SNAPSHOT
+from breezeline.schema import BENCHMARK_SUMMARY, METRICS, SNAPSHOT
 from breezeline.session import scratch_path
 from breezeline.sources import clean as C
 from breezeline.sources import payload as P

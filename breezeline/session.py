@@ -27,15 +27,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, a laptop) is a local folder made, and it is
-    then recorded so that all later calls agree on it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named:
-        named = spark.conf.get("spark.breezeline.scratch", None)
+    Where none is named, a local session makes a folder of its own and records it, so that all later calls agree on
+    it. On a cluster that would be a folder per machine, so it is an error there."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.breezeline.scratch", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="breezeline-")
         spark.conf.set("spark.breezeline.scratch", named)
     return named

@@ -6,11 +6,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeline.llm import language, line_dedup, mixing, pieces, simhash
+from breezeline.llm import (
+    embedding_dedup,
+    language,
+    line_dedup,
+    mixing,
+    pieces,
+    quality,
+    simhash,
+    suffix_dedup,
+    topk,
+    warc,
+)
+from breezeline.session import scratch_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without strings of 100 bytes that start earlier in the corpus."""
+    done = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=100)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives and read back, repeated payloads as revisits."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    read = warc.read_archives(spark, path, with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+last AS (SELECT html, max(page_id) AS page_id FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN last.page_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last.page_id <> p.page_id THEN last.page_id END AS refers_to,
+       CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN last ON p.html = last.html AND p.n >= 1000
+"""
+
+
 def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document when sources weigh 5, 2, 1 in turn."""
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -29,6 +66,33 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels outside of the held-out third."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.learn_and_score(docs, labels)
+
+
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of largest inner product for every fiftieth vector, against all rows."""
+    return topk.search_own(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP6_SQL = """
+WITH each AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+bad AS (SELECT DISTINCT vec_id FROM each WHERE x IS NULL OR NOT isfinite(x)),
+one AS (
+  SELECT vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM each
+  WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM one q JOIN one c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 3-word shingles and groups linked within 2 bits."""
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=3, max_bits=2)
@@ -57,16 +121,26 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label linked at a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least_cosine=0.98)
+
+
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every text."""
     return language.learn_and_predict(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {
+    "op1_repeated_strings": op1_repeated_strings,
+    "op2_web_archives": op2_web_archives,
     "op3_mixed_sources": op3_mixed_sources,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_quality_scores": op5_quality_scores,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_repeated_lines": op8_repeated_lines,
+    "op9_near_vectors": op9_near_vectors,
     "op10_languages": op10_languages,
 }
-ORACLES = {"op8_repeated_lines": OP8_SQL}
+ORACLES = {"op2_web_archives": OP2_SQL, "op6_nearest_vectors": OP6_SQL, "op8_repeated_lines": OP8_SQL}

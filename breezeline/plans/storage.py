@@ -17,7 +17,7 @@ from breezeline.session import scratch_path
 from breezeline.sources import clean as C
 from breezeline.sources import payload as P
 from breezeline.sources import tables as T
-from breezeline.sources.ingest import Warehouse, bootstrap_csv, incremental_rows
+from breezeline.sources.ingest import Warehouse, bootstrap_csv, incremental_cycle, incremental_rows
 from breezeline.streaming import jobs as J
 
 
@@ -197,8 +197,10 @@ def s10(spark, d):
     o = I.observations(spark, d)
     old = T.new_watermarks(o.where("us_aqi > 60"), "city_slug", "observed_at", "feed")
     new = T.new_watermarks(o, "city_slug", "observed_at", "feed")
-    T.write_dimension(spark, path, old, ["city_slug"], ["updated_at"], now())
-    T.write_dimension(spark, path, new, ["city_slug"], ["updated_at"], now() + F.expr("INTERVAL 1 HOUR"))
+    later = now() + F.expr("INTERVAL 1 HOUR")
+    T.write_watermarks(spark, path, old, now())
+    T.write_watermarks(spark, path, new, later)
+    T.write_watermarks(spark, path, old, later)  # a late file does not move them back
     return spark.read.parquet(path).select("city_slug", "last_observed_at", "overlap_hours")
 
 
@@ -222,9 +224,9 @@ def s11(spark, d):
     )
     path = scratch_path(spark, "ledger")
     ledger = A.run_rollup(details)
-    T.write_dimension(spark, f"{path}/runs", ledger, ["run_id"], ["updated_at"], now())
+    T.write_run_rows(f"{path}/runs", ledger, now())
     notes = details.withColumn("details", F.to_json(F.struct("city_slug", "status", "error")))
-    T.write_dimension(spark, f"{path}/details", notes, ["run_id", "city_slug"], ["updated_at"], now())
+    T.write_run_rows(f"{path}/details", notes, now())
     errors = (
         spark.read.parquet(f"{path}/details")
         .groupBy("run_id")
@@ -237,7 +239,7 @@ def s11(spark, d):
 @query(
     "s12_loaded_forecasts",
     cte("forecasts")
-    + f"SELECT forecast_id, city_slug, city_name, horizon_hours, {r6('predicted_us_aqi + 1', 'predicted_us_aqi')} FROM forecasts WHERE predicted_us_aqi <= 100",
+    + f"SELECT forecast_id, city_slug, city_name, forecast_timestamp, horizon_hours, {r6('predicted_us_aqi + 1', 'predicted_us_aqi')} FROM forecasts WHERE predicted_us_aqi <= 100",
 )
 def s12(spark, d):
     """Loaded twice, the second time with new predictions and another name; rows
@@ -246,9 +248,17 @@ def s12(spark, d):
     f = I.forecasts(spark, d)
     missing = F.when(F.col("predicted_us_aqi") <= 100, F.col("predicted_us_aqi"))
     T.upsert_forecasts(spark, path, f.withColumn("predicted_us_aqi", missing), now())
-    again = f.withColumn("predicted_us_aqi", missing + 1).withColumn("city_name", F.lit("renamed"))
+    # a third of the ids comes back with an issue time on the other side of midnight
+    moved = F.when(F.pmod(F.col("horizon_hours"), F.lit(3)) == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    again = f.withColumns({
+        "predicted_us_aqi": missing + 1,
+        "city_name": F.lit("renamed"),
+        "forecast_timestamp": F.col("forecast_timestamp") + moved,
+    })
     T.upsert_forecasts(spark, path, again, now())
-    return spark.read.parquet(path).select("forecast_id", "city_slug", "city_name", "horizon_hours", "predicted_us_aqi")
+    return spark.read.parquet(path).select(
+        "forecast_id", "city_slug", "city_name", "forecast_timestamp", "horizon_hours", "predicted_us_aqi"
+    )
 
 
 def _bootstrap(spark, d):
@@ -298,6 +308,28 @@ def s14(spark, d):
     return back.groupBy("city_slug", "yyyy", "mm", "dd", "run_id").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(
+    "s15_combined_and_failures",
+    cte("hourly")
+    + f"""SELECT 'combined' AS part, city_slug, count(*) AS row_count, {r6('max(us_aqi)', 'top')}, CAST(NULL AS VARCHAR) AS error FROM hourly WHERE us_aqi <= 150 GROUP BY 2
+ UNION ALL SELECT 'failure', city_slug, count(*), NULL, 'reading above 150' FROM hourly WHERE us_aqi > 150 GROUP BY 2""",
+)
+def s15c(spark, d):
+    """All cities in one compressed file set next to the table of what failed."""
+    root = scratch_path(spark, "combined")
+    h = I.hourly(spark, d, FILLED)
+    T.write_combined_csv(h.where("us_aqi <= 150"), f"{root}/all", gzip=True)
+    failed = h.where("us_aqi > 150").groupBy("city_slug").agg(F.count(F.lit(1)).alias("row_count"))
+    T.write_failures(failed.withColumn("error", F.lit("reading above 150")), f"{root}/failures")
+    good = T.read_csv(spark, f"{root}/all", h.schema, ["city_slug", "ts"]).groupBy("city_slug").agg(
+        F.count(F.lit(1)).alias("row_count"), F.max("us_aqi").alias("top")
+    )
+    bad = spark.read.option("header", True).schema("city_slug string, row_count long, error string").csv(f"{root}/failures")
+    return good.select(F.lit("combined").alias("part"), "city_slug", "row_count", "top", F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select(F.lit("failure").alias("part"), "city_slug", "row_count", F.lit(None).cast("double").alias("top"), "error")
+    )
+
+
 @query("s15_city_csv_files", cte("hourly") + f"SELECT city_slug, count(*) AS row_count, {r6('max(us_aqi)', 'top')} FROM hourly GROUP BY 1")
 def s15(spark, d):
     root = scratch_path(spark, "cities")
@@ -427,14 +459,70 @@ def t02(spark, d):
     return rows.select("city_slug", "event_id")
 
 
+ENDS = ("2024-01-15 00:00:00", "2024-01-15 12:00:00")
+CYCLE_SQL = f"""c1 AS (SELECT city_slug, ts AS observed_at, us_aqi, 'run-1' AS run_id FROM hourly
+ WHERE ts >= TIMESTAMP '{ENDS[0]}' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '{ENDS[0]}'),
+m1 AS (SELECT city_slug, max(observed_at) AS mark FROM c1 GROUP BY 1),
+w2 AS (SELECT city_slug, coalesce(mark - INTERVAL 6 HOURS, TIMESTAMP '{ENDS[1]}' - INTERVAL 24 HOURS) AS start FROM cities LEFT JOIN m1 USING (city_slug)),
+c2 AS (SELECT h.city_slug, ts AS observed_at, us_aqi + 1 AS us_aqi, 'run-2' AS run_id FROM hourly h JOIN w2 USING (city_slug)
+ WHERE ts >= start AND ts <= TIMESTAMP '{ENDS[1]}'),
+cycled AS (SELECT * FROM c2 UNION ALL SELECT * FROM c1 ANTI JOIN c2 USING (city_slug, observed_at))"""
+
+
+def _two_cycles(spark, d):
+    """Two incremental runs half a day apart; the second offers corrected values."""
+    wh = Warehouse(scratch_path(spark, "cycles"))
+    cities = I.cities(spark, d)
+    offered = I.hourly(spark, d).withColumnsRenamed({"city_slug": "city", "ts": "timestamp"})
+    corrected = offered.withColumn("us_aqi", F.col("us_aqi") + 1)
+    for run, rows, end in (("run-1", offered, ENDS[0]), ("run-2", corrected, ENDS[1]), ("run-2", corrected, ENDS[1])):
+        incremental_cycle(spark, wh, rows, cities, run, "feed", now(end), now(end))
+    return wh
+
+
+@query(
+    "t01_incremental_cycles",
+    cte("hourly", extra=[CYCLE_SQL]) + f"SELECT city_slug, observed_at, run_id, {r6('us_aqi')} FROM cycled",
+)
+def t01(spark, d):
+    """The second run starts from the first one's watermarks; its replay changes nothing."""
+    return _two_cycles(spark, d).read(spark, "observations").select("city_slug", "observed_at", "run_id", "us_aqi")
+
+
+@query(
+    "t09_refreshed_tables",
+    cte("hourly", extra=[CYCLE_SQL])
+    + " UNION ALL ".join(
+        f"SELECT '{unit}' AS part, city_slug, date_trunc('{unit}', observed_at)::TIMESTAMP AS bucket, count(*) AS n, {r6('avg(us_aqi)', 'us_aqi')} FROM cycled GROUP BY 2, 3"
+        for unit in ("hour", "day", "month")
+    )
+    + f" UNION ALL SELECT 'latest', city_slug, max(observed_at), 1, {r6('max_by(us_aqi, observed_at)', 'us_aqi')} FROM cycled GROUP BY 2",
+)
+def t09(spark, d):
+    """Hour, day, month and latest tables after two runs, each refreshed where it was touched."""
+    wh = _two_cycles(spark, d)
+    parts = [
+        wh.read(spark, name).select(
+            F.lit(unit).alias("part"), "city_slug", F.col(unit).cast("timestamp").alias("bucket"),
+            F.col("observation_count").alias("n"), F.col("us_aqi_avg").alias("us_aqi"),
+        )
+        for name, unit in J.ROLLUPS
+    ]
+    last = wh.read(spark, "latest").select(
+        F.lit("latest").alias("part"), "city_slug", F.col("observed_at").alias("bucket"), F.lit(1).cast("long").alias("n"), "us_aqi"
+    )
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(last)
+
+
 @query(
     "t04_tumbling_windows",
     f"SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS observation_count, {r6('avg(value)', 'value_avg')} FROM events GROUP BY 1, 2",
 )
 def t04(spark, d):
     root = scratch_path(spark, "tumbling")
-    J.run_complete(J.tumbling(_event_stream(spark, d), ["event_type"], "ts", "1 hour", ["value"]), f"{root}/state", f"{root}/out")
-    return spark.read.parquet(f"{root}/out")
+    windows = J.tumbling(_event_stream(spark, d), ["event_type"], "ts", "1 hour", ["value"], delay="2 days")
+    J.run_windows(windows, f"{root}/state", f"{root}/out", ["event_type"])
+    return spark.read.parquet(f"{root}/out").select("event_type", "window_start", "observation_count", "value_avg")
 
 
 @query(
@@ -444,9 +532,9 @@ def t04(spark, d):
 )
 def t05(spark, d):
     root = scratch_path(spark, "sliding")
-    stream = J.sliding(_event_stream(spark, d), ["event_type"], "ts", "6 hours", "1 hour", ["value"])
-    J.run_complete(stream, f"{root}/state", f"{root}/out")
-    return spark.read.parquet(f"{root}/out")
+    windows = J.sliding(_event_stream(spark, d), ["event_type"], "ts", "6 hours", "1 hour", ["value"], delay="2 days")
+    J.run_windows(windows, f"{root}/state", f"{root}/out", ["event_type"])
+    return spark.read.parquet(f"{root}/out").select("event_type", "window_start", "observation_count", "value_avg")
 
 
 @query(

@@ -13,22 +13,51 @@ from breezeline.functions.text import source_env, source_kind
 from breezeline.schema import BENCHMARK_SUMMARY, FORECAST_REQUIRED, require_columns
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType, required: Sequence[str]) -> DataFrame:
-    """Header CSV read by name: the header decides the order, the contract the types."""
+def read_csv(
+    spark: SparkSession, path, schema: T.StructType, required: Sequence[str], strict: bool = True
+) -> DataFrame:
+    """Header CSV read by name: the header decides the order, the contract the types.
+    An unreadable value fails the job when ``strict``; otherwise it becomes null, and
+    ``unreadable_rows`` gives the rows it stood in."""
     raw = spark.read.option("header", True).csv(path)
     require_columns(raw, required, str(path))
     kinds = {f.name: f.dataType for f in schema}
-    return raw.select(
-        *[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in raw.columns]
-    )
+
+    def read(c: str) -> Column:
+        if c not in kinds:
+            return F.col(c)
+        value = F.col(c).try_cast(kinds[c])
+        if strict:
+            bad = F.raise_error(F.concat(F.lit(f"unreadable {c}: "), F.col(c)))
+            value = F.when(value.isNull() & F.col(c).isNotNull(), bad.cast(kinds[c])).otherwise(value)
+        return value.alias(c)
+
+    return raw.select(*[read(c) for c in raw.columns])
+
+
+def unreadable_rows(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """The rows, as text, of a CSV in which some value does not fit the contract, with
+    the names of these columns as ``unreadable``."""
+    raw = spark.read.option("header", True).csv(path)
+    bad = [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
+        for f in schema
+        if f.name in raw.columns
+    ]
+    marked = raw.withColumn("unreadable", F.array_join(F.array_compact(F.array(*bad)), ", "))
+    return marked.where("unreadable <> ''")
 
 
 def scan(
     spark: SparkSession, path: str, key: str, keys: Sequence[str] | None, ts: str,
-    start=None, end=None, columns: Sequence[str] | None = None,
+    start=None, end=None, columns: Sequence[str] | None = None, date_col: str | None = None,
 ) -> DataFrame:
-    """Parquet scan with key and time predicates left to pushdown and pruning."""
+    """Parquet scan with key and time predicates left to pushdown and pruning; with
+    ``date_col``, the partition column that holds the time's date, whole days outside of
+    the bounds are not opened."""
     d = spark.read.parquet(path)
+    if date_col:
+        d = within_days(d, date_col, start, end)
     if keys:
         d = d.where(F.col(key).isin(*keys))
     if start is not None:
@@ -38,6 +67,15 @@ def scan(
     return d.select(*columns) if columns else d
 
 
+def within_days(df: DataFrame, date_col: str, start=None, end=None) -> DataFrame:
+    """Cut by the date partition column to the days that literal time bounds touch."""
+    if start is not None:
+        df = df.where(F.col(date_col) >= F.to_date(F.lit(start)))
+    if end is not None:
+        df = df.where(F.col(date_col) <= F.to_date(F.lit(end)))
+    return df
+
+
 def discover_summaries(
     spark: SparkSession, root: str, kinds: dict[str, str], default: str, glob: str = "*benchmark_summary*.csv"
 ) -> DataFrame:
@@ -116,10 +154,12 @@ def only_touched(table: DataFrame, rows: DataFrame, partition: str) -> DataFrame
     """The table cut down to the partitions that ``rows`` touch.
 
     The distinct partition values come to the driver as literals: they are directory
-    names, as few as the directories the write lists anyway, and with literals the scan
-    is pruned before it starts (a semi join without a filter would not prune)."""
+    names (for facts one per day a batch reaches back), as few as the directories the
+    write lists anyway, and with literals the scan is pruned before it starts (a semi
+    join without a filter would not prune).  Rows without a value have a directory too."""
     values = [row[0] for row in rows.select(partition).distinct().collect()]
-    return table.where(F.col(partition).isin(values))
+    known = F.col(partition).isin([v for v in values if v is not None])
+    return table.where(known | F.col(partition).isNull() if None in values else known)
 
 
 def upsert_table(
@@ -131,18 +171,35 @@ def upsert_table(
     partition_by: Sequence[str],
     now: Column | None = None,
     first_wins: Sequence[str] = (),
+    partition_of_key: bool = True,
 ) -> None:
-    """Merge into a partitioned parquet table, rewriting only the touched partitions.
+    """Merge by ``keys`` into a partitioned parquet table, rewriting only the touched
+    partitions.
 
     Old rows are read from the touched partitions only; dynamic overwrite stages the new
     files and swaps whole partitions at commit, so a lost executor or a repeated batch
-    leaves the same table.  ``incoming`` is read twice."""
+    leaves the same table.  ``incoming`` is read twice.
+
+    Where the partition columns are not a function of the key (``partition_of_key`` off),
+    the partitions in which the incoming keys already stand are looked up first (a read
+    of the key columns alone), and a key stays where it was first stored."""
     existing = read_if_there(spark, path)
     if existing is not None:
-        existing = only_touched(existing, incoming, partition_by[0])
-    merged = merge_keyed(existing, incoming, [*dict.fromkeys([*keys, *partition_by])], order, now, first_wins)
+        touched = incoming.select(partition_by[0])
+        if not partition_of_key:
+            stored = existing.join(incoming.select(*keys).distinct(), list(keys), "left_semi")
+            touched = touched.unionByName(stored.select(partition_by[0]))
+        existing = only_touched(existing, touched, partition_by[0])
+    if not partition_of_key:
+        first_wins = [*dict.fromkeys([*first_wins, *partition_by])]
+    merged = merge_keyed(existing, incoming, keys, order, now, first_wins)
+    overwrite_partitions(merged, path, partition_by)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace exactly the partitions that the rows belong to."""
     (
-        merged.hint("rebalance", *[F.col(c) for c in partition_by])  # few files, hot partitions split
+        df.hint("rebalance", *[F.col(c) for c in partition_by])  # few files, hot partitions split
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
@@ -152,14 +209,27 @@ def upsert_table(
 
 def write_dimension(
     spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str],
-    now: Column | None = None,
+    now: Column | None = None, parts: int = 16,
 ) -> None:
-    """Keyed upsert of a small state table (cities, watermarks, runs): hashed into a
-    fixed number of partitions so that a batch rewrites only the ones it touches."""
-    bucketed = incoming.withColumn("part", F.pmod(F.hash(*keys), F.lit(16)))
+    """Keyed upsert of a state table (cities, watermarks, latest rows), hashed into
+    ``parts`` partitions: a batch rewrites those its keys fall into.  Size ``parts`` to
+    the table (some ten thousand keys each) and keep it for the table's life."""
+    bucketed = incoming.withColumn("part", F.pmod(F.hash(*keys), F.lit(parts)))
     upsert_table(spark, path, bucketed, keys, order, ["part"], now)
 
 
+def write_run_rows(path: str, rows: DataFrame, now: Column) -> None:
+    """Rows of runs, a directory per run_id: a run writes its own directory only, whatever
+    the history, and a repeated run replaces its rows."""
+    stamped = rows.withColumn("created_at", now).withColumn("updated_at", now)
+    overwrite_partitions(stamped, path, ["run_id"])
+
+
+def write_watermarks(spark: SparkSession, path: str, marks: DataFrame, now: Column | None = None) -> None:
+    """Advance watermarks: the later one of a series stays, so a late file lowers none."""
+    write_dimension(spark, path, marks, ["city_slug"], ["last_observed_at", "updated_at"], now)
+
+
 def seed_cities(spark: SparkSession, path: str, cities: DataFrame, now: Column | None = None) -> None:
     write_dimension(
         spark, path, cities.withColumn("active", F.lit(True)), ["city_slug"], ["updated_at"], now
@@ -202,6 +272,7 @@ def upsert_forecasts(spark: SparkSession, path: str, df: DataFrame, now: Column
         ["issue_date"],
         now,
         first_wins=("city_slug", "city_name", "forecast_timestamp", "horizon_timestamp", "horizon_hours"),
+        partition_of_key=False,  # a corrected issue time does not move a forecast
     )
     return bad
 
@@ -235,6 +306,11 @@ def write_city_csv(df: DataFrame, root: str, key: str, ts: str) -> None:
     )
 
 
+def write_failures(df: DataFrame, path: str) -> None:
+    """Series that could not be fetched or read, with the reason, as CSV."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_combined_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     """All series in one CSV folder, optionally compressed."""
     writer = df.write.mode("overwrite").option("header", True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,18 @@ from breezeline.operators.aggregate import bucket_aggregate
 from breezeline.operators.evaluate import mape
 from breezeline.operators.rank import first_per_key
 from breezeline.schema import METRICS
-from breezeline.session import materialise
+from breezeline.session import staged
 from breezeline.sources.ingest import Warehouse, as_observations, record_run, write_observations
 from breezeline.sources.payload import decode_payloads
-from breezeline.sources.tables import new_watermarks, only_touched, upsert_table, write_dimension
+from breezeline.sources.tables import (
+    new_watermarks,
+    only_touched,
+    read_if_there,
+    upsert_table,
+    within_days,
+    write_dimension,
+    write_watermarks,
+)
 
 
 def file_stream(
@@ -45,28 +54,59 @@ def run_available(
     return query
 
 
-def refresh_touched_hours(
+#: Roll-ups kept next to the facts: table and unit; a unit's column has its name.
+ROLLUPS = (("hourly", "hour"), ("daily", "day"), ("monthly", "month"))
+
+
+def refresh_touched(
     spark: SparkSession, wh: Warehouse, touched: DataFrame, metrics: Sequence[str] = METRICS
 ) -> None:
-    """Recompute the hourly buckets a batch touched from the fact table and overwrite
-    just those; late and corrected rows therefore always end up right."""
-    hours = touched.select(
-        "city_slug", F.date_trunc("hour", "observed_at").alias("hour"), F.to_date("observed_at").alias("observed_date")
-    ).distinct()
-    table = wh.read(spark, "observations")
-    if table is None:
+    """Recompute the hours, days and months a batch touched from the fact table, overwrite
+    just those, and bring the latest row per city up to date; late and corrected rows
+    therefore always end up right."""
+    facts = wh.read(spark, "observations")
+    if facts is None:
         return
-    facts = (
-        only_touched(table, hours, "observed_date")
-        .withColumn("hour", F.date_trunc("hour", "observed_at"))
-        .join(hours.select("city_slug", "hour"), ["city_slug", "hour"], "left_semi")
-    )
-    fresh = bucket_aggregate(facts, "hour", ["city_slug"], "observed_at", metrics).withColumn(
-        "bucket_date", F.to_date("hour")
-    )
-    upsert_table(
-        spark, wh.path("hourly"), fresh, ["city_slug", "hour"], ["updated_at"], ["bucket_date"]
-    )
+    for name, unit in ROLLUPS:
+        bucket = F.date_trunc(unit, "observed_at")
+        buckets = touched.select("city_slug", bucket.alias("bucket")).distinct()
+        # a day's or month's facts stand in all its dates
+        spans = touched.select(F.date_trunc(unit, "observed_at").cast("date").alias("first")).distinct()
+        last = {"hour": F.col("first"), "day": F.col("first"), "month": F.last_day("first")}[unit]
+        days = spans.select(F.explode(F.sequence("first", last)).alias("observed_date"))
+        rows = (
+            only_touched(facts, days, "observed_date")
+            .withColumn("bucket", bucket)
+            .join(buckets, ["city_slug", "bucket"], "left_semi")
+        )
+        fresh = bucket_aggregate(rows, unit, ["city_slug"], "observed_at", metrics)
+        fresh = fresh.withColumn("bucket_date", F.to_date(unit))
+        upsert_table(spark, wh.path(name), fresh, ["city_slug", unit], ["updated_at"], ["bucket_date"])
+    dates = touched.select(F.to_date("observed_at").alias("observed_date")).distinct()
+    cities = touched.select("city_slug").distinct()
+    now_there = only_touched(facts, dates, "observed_date").join(cities, "city_slug", "left_semi")
+    newest = first_per_key(now_there, ["city_slug"], [F.col("observed_at").desc(), F.col("source")])
+    cols = ["city_slug", "observed_at", "source", *metrics]
+    keep_latest(spark, wh.path("latest"), newest.select(*cols), ["city_slug"], ["observed_at"])
+
+
+def keep_latest(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = 16
+) -> None:
+    """One row per key, the one of the largest ``order`` (a row of equal order replaces
+    the stored one where it differs).  Rows that change nothing do not reach the write, so
+    only partitions with a new row are rewritten."""
+    stored = read_if_there(spark, path)
+    if stored is not None:
+        old = stored.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias("_old"))
+        mine = F.struct(*[c for c in rows.columns if c not in keys])
+        place = F.struct(*[F.col(c) for c in order])
+        before = F.struct(*[F.col(f"_old.{c}") for c in order])
+        joined = rows.join(old, list(keys), "left")
+        news = F.col("_old").isNull() | (place > before) | ((place == before) & ~mine.eqNullSafe(F.col("_old")))
+        rows = joined.where(news).drop("_old")
+    with staged(rows) as changed:
+        write_dimension(spark, path, changed, keys, list(order), parts=parts)
 
 
 def ingest_batches(
@@ -78,9 +118,12 @@ def ingest_batches(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         run = f"stream-{batch_id:08d}"
-        docs = materialise(batch)
-        good, bad = decode_payloads(docs)
-        rows = materialise(as_observations(good, cities, source, run, now))
+        with staged(batch) as docs:
+            good, bad = decode_payloads(docs)
+            with staged(as_observations(good, cities, source, run, now)) as rows:
+                load(rows, bad, run)
+
+    def load(rows: DataFrame, bad: DataFrame, run: str) -> None:
         write_observations(spark, wh, rows, now)
         rejected = bad.withColumn("run_id", F.lit(run))
         (
@@ -89,14 +132,7 @@ def ingest_batches(
             .partitionBy("run_id")
             .parquet(wh.path("quarantine"))
         )
-        write_dimension(
-            spark,
-            wh.path("watermarks"),
-            new_watermarks(rows, "city_slug", "observed_at", source),
-            ["city_slug"],
-            ["updated_at"],
-            now,
-        )
+        write_watermarks(spark, wh.path("watermarks"), new_watermarks(rows, "city_slug", "observed_at", source), now)
         ok = rows.groupBy("city_slug").agg(F.count(F.lit(1)).alias("rows_fetched"))
         failed = bad.groupBy(F.lower(F.replace("city", F.lit(" "), F.lit("_"))).alias("city_slug")).agg(
             F.min("problem").alias("error")
@@ -110,7 +146,7 @@ def ingest_batches(
             "error",
         )
         record_run(spark, wh, details, run, "stream", now, now)
-        refresh_touched_hours(spark, wh, rows)
+        refresh_touched(spark, wh, rows)
 
     return handle
 
@@ -131,19 +167,23 @@ def sliding(df: DataFrame, keys: Sequence[str], ts: str, width: str, slide: str,
     ).select(*keys, F.col("w.start").alias("window_start"), "observation_count", *[f"{m}_avg" for m in metrics])
 
 
-def replace_with_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Complete-mode sink: the newest full result replaces the table."""
+def run_windows(df: DataFrame, checkpoint: str, path: str, keys: Sequence[str]) -> StreamingQuery:
+    """Keep a table of window aggregates up to date: only windows that a batch changed
+    leave the query, and are upserted by (keys, window_start) into the partition of their
+    day.  ``df`` must carry a watermark, so that the state of closed windows is dropped.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-
-    return handle
+    Rows later than the watermark are not counted here; where they matter, the touched
+    windows are recomputed from the facts (``refresh_touched``)."""
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch_id", F.lit(batch_id)).withColumn("window_date", F.to_date("window_start"))
+        with staged(rows) as rows:
+            upsert_table(spark, path, rows, [*keys, "window_start"], ["batch_id"], ["window_date"])
 
-def run_complete(df: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
     query = (
-        df.writeStream.foreachBatch(replace_with_batch(path))
-        .outputMode("complete")
+        df.writeStream.foreachBatch(handle)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -152,12 +192,14 @@ def run_complete(df: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
     return query
 
 
-def latest_per_key_batches(spark: SparkSession, path: str, keys: Sequence[str], ts: str, ties: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def latest_per_key_batches(
+    spark: SparkSession, path: str, keys: Sequence[str], ts: str, ties: Sequence[str], parts: int = 16
+) -> Callable[[DataFrame, int], None]:
     """Keep the newest row per key across batches."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         newest = first_per_key(batch, keys, [F.col(ts).desc(), *[F.col(t).desc() for t in ties]])
-        write_dimension(spark, path, newest, keys, [ts, *ties])
+        keep_latest(spark, path, newest, keys, [ts, *ties], parts)
 
     return handle
 
@@ -169,13 +211,13 @@ def touched_bucket_batches(
     """Keyed upsert of the batch, then recompute of the hours it touched."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = materialise(batch.withColumn("d", F.to_date(ts)))
-        upsert_table(spark, facts, rows, key, order, ["d"])
-        days = only_touched(spark.read.parquet(facts), rows, "d")
-        fresh = bucket_aggregate(days, "hour", group, ts, metrics, stddev=()).withColumn(
-            "d", F.to_date("hour")
-        )
-        upsert_table(spark, buckets, fresh, [*group, "hour"], ["updated_at"], ["d"])
+        with staged(batch.withColumn("d", F.to_date(ts))) as rows:
+            upsert_table(spark, facts, rows, key, order, ["d"])
+            days = only_touched(spark.read.parquet(facts), rows, "d")
+            fresh = bucket_aggregate(days, "hour", group, ts, metrics, stddev=()).withColumn(
+                "d", F.to_date("hour")
+            )
+            upsert_table(spark, buckets, fresh, [*group, "hour"], ["updated_at"], ["d"])
 
     return handle
 
@@ -187,16 +229,25 @@ def enriched(stream: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 
 def drift_batches(
     spark: SparkSession, path: str, forecasts: DataFrame, keys: Sequence[str], ts: str, actual: str,
-    predicted: str, limit: float = 15.0,
+    predicted: str, limit: float = 15.0, issue_date: str | None = None, longest_hours: int = 168,
 ) -> Callable[[DataFrame, int], None]:
     """Score arriving actuals against stored forecasts; one decision row per series and
-    batch."""
+    batch (``skip`` where a series of the batch met no forecast).
+
+    Only forecasts for the batch's own time range are read; where they are partitioned by
+    ``issue_date``, only the days from ``longest_hours`` before it on."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        joined = batch.join(forecasts, [*keys, ts]).dropna(subset=[actual, predicted])
-        scored = mape(joined, keys, actual, predicted).withColumn(
-            "decision", F.when(F.col("mape") > limit, "retrain").otherwise("keep")
-        )
+        low, high = batch.agg(F.min(ts), F.max(ts)).first()
+        if low is None:
+            return
+        due = forecasts.where((F.col(ts) >= F.lit(low)) & (F.col(ts) <= F.lit(high)))
+        if issue_date:
+            due = within_days(due, issue_date, low - timedelta(hours=longest_hours), high)
+        joined = batch.join(due, [*keys, ts]).dropna(subset=[actual, predicted])
+        scored = batch.select(*keys).distinct().join(mape(joined, keys, actual, predicted), list(keys), "left")
+        decision = F.when(F.col("mape").isNull(), "skip").when(F.col("mape") > limit, "retrain").otherwise("keep")
+        scored = scored.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("decision", decision)
         (
             scored.withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")

@@ -194,3 +194,54 @@ def test_files_are_listed_and_written(spark, tmp_path):
     T.write_combined_csv(df, str(tmp_path / "all"), gzip=True)
     files = T.list_files(spark, str(tmp_path), "*.gz").collect()
     assert files and all(f["path"].endswith(".csv.gz") and f["length"] > 0 for f in files)
+
+
+def test_a_key_keeps_its_partition_over_a_date_edge(spark, tmp_path):
+    path = str(tmp_path / "forecasts")
+    cols = "forecast_id string, city_slug string, city_name string, forecast_timestamp timestamp, horizon_timestamp timestamp, horizon_hours int, predicted_us_aqi double, model_type string, model_version string, confidence double"
+
+    def load(issued, value):
+        row = ("f1", "delhi", "Delhi", at(issued), at("2026-01-02 05:00"), 6, value, "m", "1", 0.5)
+        T.upsert_forecasts(spark, path, spark.createDataFrame([row], cols), stamp("2026-01-03 00:00:00"))
+
+    load("2026-01-01 23:30", 1.0)
+    load("2026-01-02 00:30", 2.0)
+    got = spark.read.parquet(path).collect()
+    assert [(r["forecast_timestamp"], r["predicted_us_aqi"]) for r in got] == [(at("2026-01-01 23:30"), 2.0)]
+
+
+def test_rows_without_a_partition_value_are_kept(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in (1, 2):
+        rows = spark.createDataFrame([(i, None)], "id int, day date")
+        T.upsert_table(spark, path, rows, ["id"], ["updated_at"], ["day"], stamp("2026-01-01 00:00:00"))
+    assert {r["id"] for r in spark.read.parquet(path).collect()} == {1, 2}
+
+
+def test_a_late_file_lowers_no_watermark(spark, tmp_path):
+    path = str(tmp_path / "marks")
+    for day, run in ((20, 1), (3, 2), (None, 3)):
+        mark = at(f"2026-01-{day:02d} 00:00") if day else None
+        rows = spark.createDataFrame([("delhi", mark)], "city_slug string, last_observed_at timestamp")
+        T.write_watermarks(spark, path, rows, stamp(f"2026-02-0{run} 00:00:00"))
+    assert [r["last_observed_at"] for r in spark.read.parquet(path).collect()] == [at("2026-01-20 00:00")]
+
+
+def test_unreadable_values_fail_or_are_listed(spark, tmp_path):
+    path = str(tmp_path / "c")
+    spark.createDataFrame([("1", "2026-01-01 00:00:00"), ("x", "never"), (None, None)], "a string, t string").coalesce(1).write.option("header", True).csv(path)
+    schema = spark.createDataFrame([], "a int, t timestamp").schema
+    with pytest.raises(Exception, match="unreadable"):
+        T.read_csv(spark, path, schema, ["a"]).collect()
+    assert {r["a"] for r in T.read_csv(spark, path, schema, ["a"], strict=False).collect()} == {1, None}
+    bad = T.unreadable_rows(spark, path, schema).collect()
+    assert [(r["a"], r["unreadable"]) for r in bad] == [("x", "a, t")]
+
+
+def test_days_outside_of_the_bounds_are_not_opened(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    spark.range(240).selectExpr("id AS k", "timestamp_seconds(id * 3600) AS ts", "to_date(timestamp_seconds(id * 3600)) AS d").write.partitionBy("d").parquet(path)
+    cut = T.scan(spark, path, "k", None, "ts", at("1970-01-03 05:00"), at("1970-01-04 02:00"), date_col="d")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "d#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(ts" in plan
+    assert cut.count() == 21 and len(cut.inputFiles()) <= len(spark.read.parquet(path).inputFiles())

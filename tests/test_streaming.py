@@ -88,7 +88,8 @@ def events(spark, tmp_path, n=300):
 
 def test_tumbling_and_latest_match_batch(spark, tmp_path):
     stream, df = events(spark, tmp_path)
-    J.run_complete(J.tumbling(stream, ["u"], "ts", "1 hour", ["v"]), str(tmp_path / "s1"), str(tmp_path / "o1"))
+    windows = J.tumbling(stream, ["u"], "ts", "1 hour", ["v"], delay="100 hours")
+    J.run_windows(windows, str(tmp_path / "s1"), str(tmp_path / "o1"), ["u"])
     got = {(r["u"], r["window_start"], r["observation_count"]) for r in spark.read.parquet(str(tmp_path / "o1")).collect()}
     want = df.groupBy("u", F.date_trunc("hour", "ts").alias("w")).count()
     # half past the hour never starts a window here, so truncation equals the window
@@ -114,3 +115,55 @@ def test_append_mode_emits_closed_windows_only(spark, tmp_path):
     )
     q.awaitTermination()
     assert spark.read.schema(out.schema).parquet(str(tmp_path / "o3")).count() == 0
+
+
+def test_state_of_closed_windows_is_dropped(spark, tmp_path):
+    folder = tmp_path / "in"
+    for i, start in enumerate((0, 100, 200)):
+        hours = spark.range(start, start + 4).selectExpr("timestamp_seconds(id * 3600) AS ts", "1.0D AS v", "'a' AS u")
+        hours.coalesce(1).write.mode("append").parquet(str(folder / f"f{i}"))
+    schema = spark.read.parquet(str(folder / "f0")).schema
+    kept = []
+    for i in range(3):
+        stream = spark.readStream.schema(schema).parquet(str(folder / f"f[0-{i}]"))
+        windows = J.tumbling(stream, ["u"], "ts", "1 hour", ["v"], delay="2 hours")
+        query = J.run_windows(windows, str(tmp_path / f"s{i}"), str(tmp_path / f"o{i}"), ["u"])
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        assert spark.read.parquet(str(tmp_path / f"o{i}")).count() == 4 * (i + 1)
+    # one batch each, then a batch without data that drops what the watermark has passed
+    assert max(kept) <= 4
+
+
+def written(folder):
+    return {p.parent.name for p in folder.rglob("*.parquet")}
+
+
+def stamps(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_only_partitions_with_news_are_rewritten(spark, tmp_path):
+    path = tmp_path / "latest"
+    handle = J.latest_per_key_batches(spark, str(path), ["u"], "ts", ["e"], parts=32)
+    rows = spark.range(200).selectExpr("id AS u", "timestamp_seconds(1000) AS ts", "1 AS e")
+    handle(rows, 0)
+    before = stamps(path)
+    one = spark.createDataFrame([(7, 2000, 1), (8, 500, 1), (9, 1000, 1)], "u long, s long, e int")
+    handle(one.selectExpr("u", "timestamp_seconds(s) AS ts", "e"), 1)
+    after = stamps(path)
+    assert len({p.parent for p in set(before) ^ set(after)}) == 1
+    assert spark.read.parquet(str(path)).where("ts = timestamp_seconds(2000)").count() == 1
+
+
+def test_a_run_writes_its_own_ledger_directory(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [("Delhi", json.dumps({"hourly": {"time": ["2026-01-01T00:00"], "us_aqi": [4.0]}}))], "city string, body string"
+    )
+    wh = Warehouse(str(tmp_path / "wh"))
+    handle = J.ingest_batches(spark, wh, cities(spark), "feed", now())
+    handle(docs, 0)
+    before = {t: stamps(tmp_path / "wh" / t) for t in ("runs", "run_details")}
+    handle(docs, 1)
+    for t, old in before.items():
+        assert set(old) < set(stamps(tmp_path / "wh" / t))
+        assert written(tmp_path / "wh" / t) == {"run_id=stream-00000000", "run_id=stream-00000001"}

@@ -1,9 +1,9 @@
 """Exact top-k inner products by reading sorted lists only, with lower and upper score bounds.
 
-Vectors are cut into blocks. In a block every dimension has its list of rows sorted by value. For a query the lists
-are read in step from the end that scores best; a row's score is bounded below and above by what was read of it and
-by what the lists can still give. Reading stops when few enough rows can still be among the k best, and the scores of
-those are then resolved."""
+Vectors are cut into blocks. In a block every dimension has its list of rows sorted by value, and the lists are read
+in step from both ends. What was read of a row is part of its score; each value not yet met lies between the two ends
+read so far, which bounds the score below and above. A query's reading stops when few enough rows can still be among
+its k best, and the scores of those are then resolved."""
 
 from __future__ import annotations
 
@@ -31,45 +31,48 @@ def whole_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id",
     return vectors.filter(good).select(id_in(id_col).alias("vec_id"), F.transform(vector_col, whole).alias("v"))
 
 
-def block_top(query: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int, resolve: int):
-    """Row numbers of a block among which its k best for the query are, and how deep the lists were read.
+def block_top(queries: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int, resolve: int):
+    """For each query the row numbers of a block among which its k best are, and how much of the lists was read.
 
-    ``order[d]`` lists the rows by falling value in dimension d, ``ranked[d]`` these values."""
+    ``order[d]`` lists the rows by falling value in dimension d, ``ranked[d]`` these values. Queries are taken together,
+    so that a list entry is read once for all of them; each leaves when at most ``resolve`` rows can still qualify."""
     n, dims = values.shape
-    if n <= resolve:
-        return np.arange(n), 0
-    used = np.flatnonzero(query)
-    if not len(used):
-        return np.arange(n), 0
-    q = query[used].astype(np.float64)
-    up = q > 0
-    # a falling list of contributions per dimension: read forwards for positive, backwards for negative weights
-    lists = [order[d] if p else order[d][::-1] for d, p in zip(used, up)]
-    gains = [ranked[d] * w if p else ranked[d][::-1] * w for d, p, w in zip(used, up, q)]
-    least = np.array([g[-1] for g in gains])
-    read = np.zeros(n)  # contributions read so far
-    seen = np.zeros((n, len(used)), np.float32)
-    done, step = 0, max(resolve, n // 8)
-    while done < n:
-        stop = min(n, done + step)
-        rows = np.concatenate([x[done:stop] for x in lists])
-        read += np.bincount(rows, weights=np.concatenate([g[done:stop] for g in gains]), minlength=n)
-        for i, x in enumerate(lists):
-            seen[x[done:stop], i] = 1
+    out = [np.arange(n)] * len(queries)
+    depth = np.zeros(len(queries))
+    if n <= resolve or not dims:
+        return out, depth
+    alive = np.arange(len(queries))
+    weights = queries.T.astype(np.float64)  # a column per query
+    slack = 1e-9 * (np.abs(weights) * np.abs(ranked).max(1)[:, None]).sum(0) + 1e-9
+    read = np.zeros((n, len(queries)))
+    unseen = np.ones((n, dims))
+    done = 0
+    for part in (0.25, 0.375, 0.45, 0.5):
+        stop = n // 2 if part < 0.5 else -(-n // 2)
+        stop = min(stop, max(done, int(n * part))) if part < 0.5 else stop
+        for d in range(dims):
+            for lo, hi in ((done, stop), (max(stop, n - stop), n - done)):
+                rows = order[d, lo:hi]
+                read[rows] += ranked[d, lo:hi, None] * weights[d]
+                unseen[rows, d] = 0
         done = stop
-        if done == n:
+        if part < 0.5:
+            # values not met lie between the two ends
+            top, low = ranked[:, min(done, n - 1), None] * weights, ranked[:, n - 1 - min(done, n - 1), None] * weights
+            upper = read + unseen @ np.maximum(top, low)
+            lower = read + unseen @ np.minimum(top, low)
+        else:
+            upper = lower = read
+        bar = np.partition(lower, n - k, axis=0)[n - k]
+        open_ = upper >= bar - slack
+        few = (open_.sum(0) <= resolve) | (part == 0.5)
+        for column in np.flatnonzero(few):
+            out[alive[column]] = np.flatnonzero(open_[:, column])
+            depth[alive[column]] = 2 * part
+        alive, weights, slack, read = alive[~few], weights[:, ~few], slack[~few], np.ascontiguousarray(read[:, ~few])
+        if not len(alive):
             break
-        front = np.array([g[done - 1] for g in gains])
-        # what a row can still get: the front of each list in which it was not met; at least the list's end
-        upper = read + front.sum() - seen @ front
-        lower = read + least.sum() - seen @ least
-        bar = np.partition(lower, n - k)[n - k]
-        slack = 1e-3 * (1 + np.abs(front).sum() + np.abs(least).sum())
-        open_ = np.flatnonzero(upper >= bar - slack)
-        if len(open_) <= resolve:
-            return open_, done
-    bar = np.partition(read, n - k)[n - k]
-    return np.flatnonzero(read >= bar), done
+    return out, depth
 
 
 def _best_of_blocks(k: int, resolve: int):
@@ -89,16 +92,18 @@ def _best_of_blocks(k: int, resolve: int):
                 ids = own["vec_id"].to_numpy()
                 order = np.argsort(-values, axis=0, kind="stable").T.copy()
                 ranked = np.take_along_axis(values.T, order, 1).astype(np.float64)
-                for query_id, q in zip(queries["vec_id"], queries["v"]):
-                    if len(q) != size:
-                        continue
-                    # one more than k: the query's own row takes no part
-                    copies = int((ids == query_id).sum())
-                    near, _ = block_top(q, values, order, ranked, min(len(ids), k + copies), max(resolve, k + copies))
-                    near = near[ids[near] != query_id]
-                    scores = values[near] @ q
-                    best = np.lexsort((ids[near], -scores))[:k]
-                    out.extend((query_id, ids[near[b]], int(scores[b])) for b in best)
+                mine = queries[queries["v"].map(len) == size]
+                names, asks = mine["vec_id"].to_numpy(), np.stack(mine["v"].to_list()) if size else np.zeros((len(mine), 0), np.int64)
+                # room for the rows of the query's own id, which take no part
+                extra = int(np.unique(ids, return_counts=True)[1].max())
+                for start in range(0, len(names), 64):
+                    some = asks[start : start + 64]
+                    near, _ = block_top(some, values, order, ranked, min(len(ids), k + extra), max(resolve, k + extra))
+                    for query_id, q, rows_ in zip(names[start : start + 64].tolist(), some, near):
+                        rows_ = rows_[ids[rows_] != query_id]
+                        scores = values[rows_] @ q
+                        best = np.lexsort((ids[rows_], -scores))[:k]
+                        out.extend((query_id, ids[rows_[b]], int(scores[b])) for b in best)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run

@@ -240,7 +240,8 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     """Per document: doc_id, held_out, score, predicted (1 from 0.5 on), from the labels of rows that are not held
     out. A document with several labels is learned from once per label; null labels teach nothing."""
     marked = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
-    known = labels.select("doc_id", F.col(label_col).alias("label")).filter("label IS NOT NULL")
+    # the same join at every size: labels grow with the documents
+    known = labels.select("doc_id", F.col(label_col).alias("label")).filter("label IS NOT NULL").hint("merge")
     model = fit(marked.filter(~F.col("held_out")).join(known, "doc_id").select("doc_id", "text", "label"), **settings)
     score = scorer(docs.sparkSession, model)
     scored = marked.select("doc_id", "held_out", score(F.col("text")).alias("score"))

@@ -21,10 +21,13 @@ def bucket_aggregate(
     keep: str | None = None,
     stddev: Sequence[str] = ("pm2_5", "pm10"),
     name: str | None = None,
+    date_col: str | None = None,
 ) -> DataFrame:
     """Count, avg/max/min of every metric and sample stddev of some, per calendar unit
-    (hour, day, month), over the trailing ``keep`` interval before ``as_of``."""
-    d = df if keep is None else df.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {keep}"))
+    (hour, day, month), over the trailing ``keep`` interval before ``as_of``.  A literal
+    ``as_of`` reaches the scan; with ``date_col``, the facts' date partition, older days
+    are not opened."""
+    d = df if keep is None else since(df, ts, as_of - F.expr(f"INTERVAL {keep}"), date_col)
     bucket = F.date_trunc(unit, ts)
     bucket = bucket if unit == "hour" else bucket.cast("date")
     aggs = [F.count(F.lit(1)).alias("observation_count")]
@@ -34,6 +37,12 @@ def bucket_aggregate(
     return d.groupBy(*keys, bucket.alias(name or unit)).agg(*aggs)
 
 
+def since(df: DataFrame, ts: str, bound: Column, date_col: str | None = None) -> DataFrame:
+    """Rows from ``bound`` on, cut by the date partition column as well where there is one."""
+    d = df.where(F.col(ts) >= bound)
+    return d.where(F.col(date_col) >= bound.cast("date")) if date_col else d
+
+
 def fold_buckets(
     df: DataFrame, ts: str, unit: str, keys: Sequence[str], metrics: Sequence[str]
 ) -> DataFrame:

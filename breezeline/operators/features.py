@@ -60,11 +60,12 @@ def lead_columns(w, target: str, horizon: int | Sequence[int]) -> list[Column]:
     return [F.lead(target, h).over(w).alias(f"{target}_h{h}") for h in hours]
 
 
-def ratio_columns() -> list[Column]:
-    return [
-        safe_ratio("pm2_5", "pm10").alias("pm25_pm10_ratio"),
-        safe_ratio("carbon_monoxide", "nitrogen_dioxide").alias("co_no2_ratio"),
-    ]
+# The ratios of the feature recipe, where both metrics are there.
+RATIOS = {"pm25_pm10_ratio": ("pm2_5", "pm10"), "co_no2_ratio": ("carbon_monoxide", "nitrogen_dioxide")}
+
+
+def ratio_columns(cols: Sequence[str]) -> list[Column]:
+    return [safe_ratio(*pair).alias(name) for name, pair in RATIOS.items() if set(pair) <= set(cols)]
 
 
 def feature_frame(
@@ -79,7 +80,8 @@ def feature_frame(
     horizon: int | Sequence[int] = 0,
     with_calendar: bool = True,
 ) -> DataFrame:
-    """All ordered features and targets of a recipe from one window specification."""
+    """All ordered features and targets of a recipe from one window specification; with
+    the calendar come the ratios of the metrics that are there."""
     before = max([*lags, *(k - 1 for k in rolling), *(k - 1 for k in stds), delta or 0, 0])
     after = (horizon if isinstance(horizon, int) else max(horizon)) if target else 0
 
@@ -90,7 +92,7 @@ def feature_frame(
         return out + (lead_columns(w, target, horizon) if target else [])
 
     d = framed(df, s, before, after, build)
-    return d.select("*", *calendar(s.ts)) if with_calendar else d
+    return d.select("*", *calendar(s.ts), *ratio_columns(cols)) if with_calendar else d
 
 
 def chronological_split(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -18,7 +21,8 @@ from breezeline.functions.numeric import clip
 from breezeline.functions.text import baseline_forecast_id, benchmark_forecast_id, title_case
 from breezeline.operators.blocks import Series
 from breezeline.operators.evaluate import regression_metrics
-from breezeline.operators.features import chronological_split, feature_frame, tail
+from breezeline.operators.features import RATIOS, chronological_split, feature_frame, tail
+from breezeline.schema import BENCHMARK_SUMMARY
 from breezeline.session import materialise
 
 
@@ -91,25 +95,41 @@ def forecast_rows(
     )
 
 
-# Regressor settings; boosted variants share one Spark estimator.
-SPECS: dict[str, Callable[..., object]] = {
-    "random_forest": lambda **kw: RandomForestRegressor(**{"numTrees": 20, "maxDepth": 6, "seed": 42, **kw}),
-    "gradient_boosting": lambda **kw: GBTRegressor(**{"maxIter": 10, "maxDepth": 4, "seed": 42, **kw}),
-    "linear": lambda **kw: LinearRegression(**kw),
+# Settings of the tree-ensemble specs; each boosted name has its own.  Spark
+# bounds trees by depth: 31 leaves stand as depth 5, unbounded trees as depth 12.
+SPECS: dict[str, tuple[type, dict]] = {
+    "random_forest": (RandomForestRegressor, {"numTrees": 180, "minInstancesPerNode": 2, "maxDepth": 12, "seed": 42}),
+    "xgboost": (
+        GBTRegressor,
+        {"maxIter": 220, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "seed": 42},
+    ),
+    "lightgbm": (
+        GBTRegressor,
+        {"maxIter": 260, "maxDepth": 5, "stepSize": 0.04, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "seed": 42},
+    ),
+    "catboost": (GBTRegressor, {"maxIter": 220, "maxDepth": 5, "stepSize": 0.05, "seed": 42}),
+    "linear": (LinearRegression, {}),
+}
+# Phase and family of the summary rows.
+FAMILIES = {"linear": ("classical", "linear")} | {
+    name: ("classical", "tree_ensemble") for name in ("random_forest", "xgboost", "lightgbm", "catboost")
 }
-# Model names that train as boosted trees here.
-BOOSTED_NAMES = ("xgboost", "lightgbm", "catboost")
 
 
 class TooFewRows(ValueError):
     """No complete training row is left for a horizon."""
 
 
+class NoEstimator(ValueError):
+    """A spec that names no estimator."""
+
+
 def estimator(name: str, **params):
-    key = "gradient_boosting" if name in BOOSTED_NAMES else name
-    if key not in SPECS:
-        raise ValueError(f"no estimator for {name}")
-    return SPECS[key](**params)
+    """The spec's estimator; ``params`` go over its settings."""
+    if name not in SPECS:
+        raise NoEstimator(f"no estimator for {name}")
+    kind, settings = SPECS[name]
+    return kind(**{**settings, **params})
 
 
 def supervised_frame(
@@ -127,10 +147,15 @@ def supervised_frame(
     # The series enters as the mean of its own training target: works for any number of
     # series, where an index of their names would have to pass through the driver.
     level = split.where("split = 'train'").groupBy(*s.keys).agg(F.avg(target).alias("series_mean"))
-    d = feature_frame(split.join(level, list(s.keys)), s, cols, lags, rolling, (), None, target, horizons)
+    d = feature_frame(split.join(level, list(s.keys)), s, cols, lags, rolling, (), 24, target, horizons)
     names = [f"{c}_lag_{k}h" for c in cols for k in lags]
     names += [f"{c}_roll_{k}h" for c in cols for k in rolling]
+    names += [f"{c}_delta_24h" for c in cols]
     names += ["hour", "day_of_week", "month", "series_mean", *cols]
+    ratios = [name for name, pair in RATIOS.items() if set(pair) <= set(cols)]
+    # a ratio over zero has no value; it enters as zero and drops no row
+    d = d.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in ratios})
+    names += ratios
     return materialise(d.dropna(subset=names)), names
 
 
@@ -147,14 +172,14 @@ def fit_direct(
     """One model per horizon over all series together.
 
     Forecasting h hours ahead needs the target h rows later; training rows whose target
-    lies past the split edge are dropped by requiring it inside the training part."""
+    lies past the split edge (``_to``, which the split has set) are dropped by requiring it
+    inside the training part."""
     rows = frame.where("split = 'train'") if train is None else frame.where(train)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    cut = F.floor(F.col("_len") * F.lit(0.70))
     models = {}
     for h in horizons:
         label = f"{target}_h{h}"
-        safe = rows.where(F.col(label).isNotNull() & (F.col("_pos") + h < cut))
+        safe = rows.where(F.col(label).isNotNull() & (F.col("_pos") + h < F.col("_to")))
         if safe.isEmpty():
             raise TooFewRows(f"no training row {h} rows ahead")
         model = estimator(spec, featuresCol="features", labelCol=label, predictionCol=f"pred_h{h}", **params)
@@ -209,37 +234,45 @@ def benchmark_matrix(
     horizons: Sequence[int],
     specs: Sequence[str],
     city: str = "city_slug",
+    params: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Every spec over every series; a spec that fails becomes a skipped row with its
-    reason.  The loop is over specs: all series train and score together."""
+    """Every spec over every series, in the columns of a benchmark summary.  The loop is
+    over specs: all series train and score together, and share the seconds it took.
+
+    A spec without an estimator, or with too few rows, becomes skipped rows with the whole
+    reason; any other failure (lost executors, memory, wrong columns) is one."""
     frame, features = supervised_frame(df, s, cols, target, horizons)
     test = frame.where("split = 'test'")
     out = None
     for spec in specs:
+        phase, family = FAMILIES.get(spec, (None, None))
         try:
-            models = fit_direct(frame, s, features, target, horizons, spec)
+            start = time.perf_counter()
+            models = fit_direct(frame, s, features, target, horizons, spec, **(params or {}).get(spec, {}))
+            trained = time.perf_counter() - start
             scored = predict_direct(models, test, s, target)
-            rows = regression_metrics(scored, list(s.keys), "actual", "predicted").select(
-                F.col(city).alias("city"),
-                F.lit(spec).alias("model"),
-                F.lit("ok").alias("status"),
-                "rmse",
-                "mae",
-                "r2",
-                F.lit(None).cast("string").alias("reason"),
-            )
-        except Exception as problem:  # keep the other specs going, as the row says why
-            rows = (
-                df.select(F.col(city).alias("city"))
-                .distinct()
-                .select(
-                    "city",
-                    F.lit(spec).alias("model"),
-                    F.lit("skipped").alias("status"),
-                    *[F.lit(None).cast("double").alias(m) for m in ("rmse", "mae", "r2")],
-                    F.lit(str(problem)[:500]).alias("reason"),
-                )
-            )
+            start = time.perf_counter()
+            rows = materialise(regression_metrics(scored, list(s.keys), "actual", "predicted"))
+            inferred = time.perf_counter() - start
+            rows = rows.withColumnRenamed(city, "city").withColumns({
+                "status": F.lit("ok"),
+                "train_seconds": F.lit(trained),
+                "inference_seconds": F.lit(inferred),
+                "reason": F.lit(None).cast("string"),
+            })
+        except (NoEstimator, TooFewRows) as problem:
+            none = F.lit(None).cast("double")
+            rows = df.select(F.col(city).alias("city")).distinct().withColumns({
+                "status": F.lit("skipped"),
+                **dict.fromkeys(("rmse", "mae", "r2", "train_seconds", "inference_seconds"), none),
+                "reason": F.lit(str(problem)),
+            })
+        rows = rows.withColumns({
+            "model": F.lit(spec),
+            "phase": F.lit(phase).cast("string"),
+            "family": F.lit(family).cast("string"),
+        })
+        rows = rows.select(*[f.name for f in BENCHMARK_SUMMARY])
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -251,13 +284,13 @@ def learning_curve(
     target: str,
     horizon: int,
     spec: str,
-    fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0),
+    fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
 ) -> DataFrame:
     """Validation score after training on growing leading shares of the training part."""
     out = None
     for share in fractions:
         part = (F.col("split") == "train") & (
-            F.col("_pos") < F.floor(F.col("_len") * F.lit(0.70) * F.lit(float(share)))
+            F.col("_pos") < F.floor(F.col("_to") * F.lit(float(share)))
         )
         score = ["n", "rmse", "mae", "r2"]
         try:
@@ -273,21 +306,59 @@ def learning_curve(
     return out
 
 
-def var_frame(df: DataFrame, s: Series, cols: Sequence[str], lags: int) -> tuple[DataFrame, list[str]]:
-    names = [f"{c}_lag_{k}h" for c in cols for k in range(1, lags + 1)]
+def var_moments(df: DataFrame, s: Series, cols: Sequence[str], lags: int) -> tuple[np.ndarray, int]:
+    """Cross products of (1, ``lags`` past values of every metric, the present values) over
+    all complete rows, and their number.  Tasks hand on one small matrix each, whose size
+    is set by metrics and lags alone."""
+    past = [f"{c}_lag_{k}h" for k in range(1, lags + 1) for c in cols]
     d = feature_frame(df, s, cols, range(1, lags + 1), (), (), None, with_calendar=False)
-    return materialise(d.dropna(subset=[*names, *cols])), names
-
-
-def fit_var(df: DataFrame, s: Series, cols: Sequence[str], lags: int = 2) -> tuple[list[list[float]], list[float]]:
-    """Least squares of every metric on ``lags`` past values of all metrics: a
-    coefficient row and an intercept per metric (small whatever the data)."""
-    frame, names = var_frame(df, s, cols, lags)
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(frame)
-    fits = [
-        LinearRegression(featuresCol="features", labelCol=c, solver="normal").fit(vectors) for c in cols
-    ]
-    return [[float(x) for x in f.coefficients] for f in fits], [float(f.intercept) for f in fits]
+    rows = d.select(*[F.col(c).cast("double").alias(c) for c in (*past, *cols)]).dropna()
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = None, 0
+        for frame in frames:
+            x = np.column_stack([np.ones(len(frame)), frame.to_numpy(np.float64)])
+            total = x.T @ x if total is None else total + x.T @ x
+            n += len(frame)
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(total.size + 1), "v": np.append(total.ravel(), n)})
+
+    summed = rows.mapInPandas(products, "at long, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    values = [r["v"] for r in summed.orderBy("at").collect()]
+    if not values:
+        raise TooFewRows("no row has all its past values")
+    side = 1 + len(past) + len(cols)
+    return np.array(values[:-1]).reshape(side, side), int(values[-1])
+
+
+def fit_var(
+    df: DataFrame, s: Series, cols: Sequence[str], most_lags: int = 24
+) -> tuple[list[list[float]], list[float], int]:
+    """Least squares of every metric on past values of all metrics: a coefficient row
+    (metric by metric, newest first) and an intercept per metric, and the number of lags,
+    which is the one of least AIC up to ``most_lags``.
+
+    All orders are compared on the same rows, those with ``most_lags`` past values, and
+    read off one matrix of cross products."""
+    k = len(cols)
+    moments, n = var_moments(df, s, cols, most_lags)
+    now = slice(1 + k * most_lags, None)
+    best = None
+    for lags in range(1, most_lags + 1):
+        width = 1 + k * lags
+        if n <= width:
+            break
+        past, cross = moments[:width, :width], moments[:width, now]
+        fit = np.linalg.lstsq(past, cross, rcond=None)[0]
+        rest = (moments[now, now] - cross.T @ fit - fit.T @ cross + fit.T @ past @ fit) / n
+        aic = np.linalg.slogdet(rest + 1e-12 * np.eye(k))[1] + 2 * k * (k * lags + 1) / n
+        if best is None or aic < best[0]:
+            best = (aic, lags, fit)
+    if best is None:
+        raise TooFewRows(f"{n} complete rows are too few for {k} metrics")
+    _, lags, fit = best
+    rows = [[float(fit[1 + j * k + c, m]) for c in range(k) for j in range(lags)] for m in range(k)]
+    return rows, [float(x) for x in fit[0]], lags
 
 
 def forecast_var(

@@ -1,8 +1,10 @@
 """Exact quantiles without holding a group's values in one task.
 
-Equal values are counted first (map-side combine).  Values are then counted in
-ordered cells; a running count over the cells finds the one or two cells that hold
-each wanted rank, and only the values in those cells are ranked.
+Readings are counted in ordered cells of a relative grid (map-side combine, nothing but
+counts is shuffled); a running count over the cells finds the one or two that hold each
+wanted rank.  Each such cell is cut into even finer ones between its own least and
+largest value, and counted again.  Only the readings of the finer cells that hold a
+wanted rank are shuffled, equal ones as one row, and ranked.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 CELLS_PER_EFOLD = 2048
+FINE_CELLS = 4096
 
 
 def _cell(v: Column) -> Column:
@@ -33,57 +36,68 @@ def long_metrics(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
     ).select(*by, "_m.metric", "_m.value")
 
 
-def order_statistics(
+def _running(start: Column, count: str, within: Sequence[str], order: str) -> Column:
+    """Rows before a cell: those before the first one and those of the cells in between."""
+    along = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return start + F.coalesce(F.sum(count).over(along), F.lit(0))
+
+
+def wanted_readings(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]
 ) -> DataFrame:
-    """One row per (by, metric): for each name in ``probs`` the two readings around that
-    quantile (``lo_``, ``hi_``) and the share of the way between them (``share_``).
-    Groups without a value are absent.  The group columns travel as one struct, which
-    also equals itself where a column is null."""
+    """The readings of the finer cells that hold a wanted rank, equal ones counted, with
+    their cell, the rows before it (``_base``) and the group's rows (``_total``)."""
     keys = ["_by", "metric"]
     group = F.struct(*by) if by else F.lit(0)
+
+    def holds(count: str) -> Column:
+        found = F.lit(False)
+        for p in probs.values():
+            rank = (F.col("_total") - 1) * F.lit(float(p))
+            for end in (F.floor(rank), F.ceil(rank)):
+                found = found | ((F.col("_base") <= end) & (end < F.col("_base") + F.col(count)))
+        return found
+
     values = (
         long_metrics(df, by, cols)
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(group.alias("_by"), "metric", "value")
+        .select(group.alias("_by"), "metric", "value", _cell(F.col("value")).alias("_cell"))
+    )
+    cells = values.groupBy(*keys, "_cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")
+    )
+    placed = cells.withColumns(
+        {"_base": _running(F.lit(0), "_n", keys, "_cell"), "_total": F.sum("_n").over(Window.partitionBy(*keys))}
+    )
+    inside = values.join(placed.where(holds("_n")).drop("_n"), [*keys, "_cell"])
+    share = (F.col("value") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+    even = F.least(F.lit(FINE_CELLS - 1), F.floor(share * FINE_CELLS))
+    inside = inside.withColumn("_fine", F.when(F.col("_high") > F.col("_low"), even).otherwise(0).cast("long"))
+    inside = inside.drop("_low", "_high")
+    cell = [*keys, "_cell"]
+    fine = inside.groupBy(*cell, "_fine", "_base", "_total").agg(F.count(F.lit(1)).alias("_n"))
+    fine = fine.withColumn("_base", _running(F.col("_base"), "_n", cell, "_fine"))
+    wanted = fine.where(holds("_n")).select(*cell, "_fine", "_base", "_total")
+    return (
+        inside.select(*cell, "_fine", "value")
+        .join(wanted, [*cell, "_fine"])
+        .groupBy(*cell, "_fine", "_base", "_total", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", _cell(F.col("value")))
     )
-    along = Window.partitionBy(*keys).orderBy("_cell")
-    rank = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
 
-    def holds(name: str, start: Column, count: Column) -> Column:
-        low, high = F.floor(rank[name]), F.ceil(rank[name])
-        end = start + count
-        return ((start <= low) & (low < end)) | ((start <= high) & (high < end))
 
-    cells = (
-        values.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_in_cell"))
-        .select(
-            *keys,
-            "_cell",
-            "_in_cell",
-            F.coalesce(
-                F.sum("_in_cell").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_base"),
-            F.sum("_in_cell").over(Window.partitionBy(*keys)).alias("_total"),
-        )
-    )
-    wanted = F.lit(False)
-    for name in probs:
-        wanted = wanted | holds(name, F.col("_base"), F.col("_in_cell"))
-    inside = Window.partitionBy(*keys, "_cell").orderBy("value")
-    ranked = (
-        values.join(cells.where(wanted), [*keys, "_cell"])
-        .withColumn(
-            "_start",
-            F.col("_base")
-            + F.coalesce(
-                F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-    )
+def order_statistics(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: dict[str, float]
+) -> DataFrame:
+    """One row per (by, metric): for each name in ``probs`` the two readings around that
+    quantile (``lo_``, ``hi_``) and the share of the way between them (``share_``).
+    Groups without a value are absent.  The group columns travel as one struct, which
+    also equals itself where a column is null."""
+    keys = ["_by", "metric"]
+    rank = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    readings = wanted_readings(df, by, cols, probs)
+    start = _running(F.col("_base"), "_n", [*keys, "_cell", "_fine"], "value")
+    ranked = readings.withColumn("_start", start)
 
     def at(position: Column) -> Column:
         here = (F.col("_start") <= position) & (position < F.col("_start") + F.col("_n"))

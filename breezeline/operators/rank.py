@@ -27,10 +27,15 @@ def ranked_per_key(
 
 def latest(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[Column] = (), within: str | None = None,
-    as_of: Column | None = None,
+    as_of: Column | None = None, date_col: str | None = None,
 ) -> DataFrame:
-    """Newest row per key, optionally only among rows not older than ``within``."""
-    d = df if within is None else df.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {within}"))
+    """Newest row per key, optionally only among rows not older than ``within`` (and, with
+    ``date_col``, the date partition column, without opening older days)."""
+    d = df
+    if within is not None:
+        bound = as_of - F.expr(f"INTERVAL {within}")
+        d = d.where(F.col(ts) >= bound)
+        d = d.where(F.col(date_col) >= bound.cast("date")) if date_col else d
     return first_per_key(d, keys, [F.col(ts).desc(), *ties])
 
 

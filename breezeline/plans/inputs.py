@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,32 +25,15 @@ TYPE_OF = {
     "nitrogen_dioxide": "purchase",
     "ozone": "signup",
 }
-FILLED = ("pm2_5", "pm10", "us_aqi")
+FILLED = METRICS
 
 
-def remembered(fn):
-    """Keep the (lazy) frame of a role per application and folder, so that a query does
-    not list files and read footers again; nothing of the data is held."""
-    kept: dict[tuple, DataFrame] = {}
-
-    @functools.wraps(fn)
-    def call(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir, *args)
-        if key not in kept:
-            kept[key] = fn(spark, sf_dir, *args)
-        return kept[key]
-
-    return call
-
-
-@remembered
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     plain = [f.name for f in d.schema if f.dataType.typeName() == "timestamp_ntz"]
     return d.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else d
 
 
-@remembered
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -62,10 +44,24 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remembered
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event, seven metric columns, keyed to a city."""
-    e = table(spark, sf_dir, "events")
+def trailing(spark: SparkSession, sf_dir: str, keep: str) -> tuple[Column, str]:
+    """The newest event time, and the time ``keep`` before it in the type it is stored in.
+
+    One row from the bare time column.  As a literal of the stored type the bound reaches
+    the parquet reader; a subquery over the joined facts, or a cast of the column, would
+    keep it above the scan."""
+    newest = F.max("ts")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    row = e.agg(newest.cast("string").alias("n"), (newest - F.expr(f"INTERVAL {keep}")).cast("string").alias("b")).first()
+    return F.lit(row["n"]).cast("timestamp"), row["b"]
+
+
+def observations(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
+    """One row per event (from ``since`` on), seven metric columns, keyed to a city."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if since is not None:
+        e = e.where(F.col("ts") >= F.lit(since).cast(e.schema["ts"].dataType))
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
     metric = {m: F.when(F.col("event_type") == t, F.col("value")) for m, t in TYPE_OF.items()}
     metric["sulphur_dioxide"] = F.get_json_object("props", "$.k").cast("double")
     metric["us_aqi"] = F.col("value")
@@ -80,9 +76,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hourly(spark: SparkSession, sf_dir: str, metrics: Sequence[str] = METRICS) -> DataFrame:
+def hourly(
+    spark: SparkSession, sf_dir: str, metrics: Sequence[str] = METRICS, since: str | None = None
+) -> DataFrame:
     """(city_slug, ts) frame of hourly means, with its natural gaps."""
-    return fold_buckets(observations(spark, sf_dir), "observed_at", "hour", ["city_slug"], metrics)
+    return fold_buckets(observations(spark, sf_dir, since), "observed_at", "hour", ["city_slug"], metrics)
 
 
 def hourly_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +97,6 @@ def as_of(df: DataFrame, ts: str = "observed_at") -> Column:
 FORECAST_HOURS = (1, 6, 24)
 
 
-@remembered
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two simple models forecast every hourly mean 1, 6 and 24 hours ahead."""
     h = hourly(spark, sf_dir, ("us_aqi", "pm2_5"))
@@ -127,7 +124,6 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remembered
 def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read as benchmark results."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -156,7 +152,6 @@ def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remembered
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read as scheduler runs."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -181,7 +176,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remembered
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as station readings; one station has no name."""
     l = table(spark, sf_dir, "lineitem")
@@ -199,7 +193,6 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remembered
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a four-field sensor feed, one reading per sensor and minute."""
     e = table(spark, sf_dir, "events")
@@ -255,7 +248,7 @@ SQL = {
  max(CAST(json_extract_string(props,'$.k') AS DOUBLE)) AS pm10 FROM events GROUP BY ALL)""",
     "hgrid": """bounds AS (SELECT city_slug, min(ts) AS a, max(ts) AS z FROM hourly GROUP BY 1),
 steps AS (SELECT city_slug, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS ts FROM bounds),
-hgrid AS (SELECT s.city_slug, s.ts, h.pm2_5, h.pm10, h.us_aqi, h.carbon_monoxide, h.nitrogen_dioxide, h.ozone,
+hgrid AS (SELECT s.city_slug, s.ts, h.pm2_5, h.pm10, h.us_aqi, h.carbon_monoxide, h.nitrogen_dioxide, h.sulphur_dioxide, h.ozone,
  row_number() OVER (PARTITION BY s.city_slug ORDER BY s.ts) - 1 AS pos,
  count(*) OVER (PARTITION BY s.city_slug) AS len
  FROM steps s LEFT JOIN hourly h USING (city_slug, ts))""",

@@ -16,7 +16,8 @@ from breezeline.plans.inputs import FILLED, HOURLY, SENSOR, cte, fill_sql, query
 from breezeline.plans.rollups import LATEST_SQL
 from breezeline.sources.clean import dedupe_first
 
-TWO = ("us_aqi", "pm2_5")
+# All seven metrics, the target first.
+WIDE = ("us_aqi", *[m for m in I.METRICS if m != "us_aqi"])
 W = "WINDOW w AS (PARTITION BY city_slug ORDER BY ts)"
 
 
@@ -28,7 +29,7 @@ def frame_sql(before: int, after: int = 0) -> str:
     )
 
 
-def framed_query(build, before, after=0, cols=TWO):
+def framed_query(build, before, after=0, cols=WIDE):
     from breezeline.operators.blocks import framed
 
     def run(spark, d):
@@ -40,52 +41,52 @@ def framed_query(build, before, after=0, cols=TWO):
 query(
     "w01_lag_features",
     cte("hourly")
-    + f"SELECT city_slug, ts, {rounded(TWO)}, "
-    + ", ".join(r6(f"lag({c}, {k}) OVER w", f"{c}_lag_{k}h") for c in TWO for k in X.LAGS)
+    + f"SELECT city_slug, ts, {rounded(WIDE)}, "
+    + ", ".join(r6(f"lag({c}, {k}) OVER w", f"{c}_lag_{k}h") for c in WIDE for k in X.LAGS)
     + f" FROM hourly {W}",
-)(framed_query(lambda w: X.lag_columns(w, TWO, X.LAGS), 24))
+)(framed_query(lambda w: X.lag_columns(w, WIDE, X.LAGS), 24))
 
 query(
     "w02_rolling_means",
     cte("hourly")
-    + f"SELECT city_slug, ts, {rounded(TWO)}, "
-    + ", ".join(r6(f"avg({c}) OVER {frame_sql(k - 1)}", f"{c}_roll_{k}h") for c in TWO for k in X.ROLLING)
+    + f"SELECT city_slug, ts, {rounded(WIDE)}, "
+    + ", ".join(r6(f"avg({c}) OVER {frame_sql(k - 1)}", f"{c}_roll_{k}h") for c in WIDE for k in X.ROLLING)
     + " FROM hourly",
-)(framed_query(lambda w: X.rolling_mean_columns(w, TWO, X.ROLLING), 23))
+)(framed_query(lambda w: X.rolling_mean_columns(w, WIDE, X.ROLLING), 23))
 
 query(
     "w03_rolling_std",
     cte("hourly")
-    + f"SELECT city_slug, ts, {rounded(TWO)}, "
-    + ", ".join(r6(f"stddev_samp({c}) OVER {frame_sql(2)}", f"{c}_std_3h") for c in TWO)
+    + f"SELECT city_slug, ts, {rounded(WIDE)}, "
+    + ", ".join(r6(f"stddev_samp({c}) OVER {frame_sql(2)}", f"{c}_std_3h") for c in WIDE)
     + " FROM hourly",
-)(framed_query(lambda w: X.rolling_std_columns(w, TWO, (3,)), 2))
+)(framed_query(lambda w: X.rolling_std_columns(w, WIDE, (3,)), 2))
 
 
 @query(
     "w04_centered_mean_fill",
     cte("hgrid")
     + "SELECT city_slug, ts, "
-    + ", ".join(r6(f"coalesce({c}, avg({c}) OVER {frame_sql(5, 4)})", c) for c in TWO)
+    + ", ".join(r6(f"coalesce({c}, avg({c}) OVER {frame_sql(5, 4)})", c) for c in WIDE)
     + " FROM hgrid",
 )
 def w04(spark, d):
-    grid = regular_grid(I.hourly(spark, d, TWO), HOURLY, TWO)
-    return drop_helpers(G.centered_mean_fill(grid, HOURLY, TWO))
+    grid = regular_grid(I.hourly(spark, d, WIDE), HOURLY, WIDE)
+    return drop_helpers(G.centered_mean_fill(grid, HOURLY, WIDE))
 
 
 query(
     "w05_daily_delta",
     cte("hourly")
-    + f"SELECT city_slug, ts, {rounded(TWO)}, "
-    + ", ".join(r6(f"{c} - lag({c}, 24) OVER w", f"{c}_delta_24h") for c in TWO)
+    + f"SELECT city_slug, ts, {rounded(WIDE)}, "
+    + ", ".join(r6(f"{c} - lag({c}, 24) OVER w", f"{c}_delta_24h") for c in WIDE)
     + f" FROM hourly {W}",
-)(framed_query(lambda w: X.delta_columns(w, TWO), 24))
+)(framed_query(lambda w: X.delta_columns(w, WIDE), 24))
 
 query(
     "w06_lead_targets",
     cte("hourly")
-    + f"SELECT city_slug, ts, {rounded(TWO)}, "
+    + f"SELECT city_slug, ts, {rounded(WIDE)}, "
     + ", ".join(r6(f"lead(us_aqi, {h}) OVER w", f"us_aqi_h{h}") for h in range(1, 25))
     + f" FROM hourly {W}",
 )(framed_query(lambda w: X.lead_columns(w, "us_aqi", 24), 0, 24))
@@ -94,19 +95,22 @@ query(
 @query(
     "w01_w06_feature_frame",
     cte("hourly")
-    + f"SELECT city_slug, ts, {rounded(TWO)}, "
-    + ", ".join(r6(f"lag({c}, {k}) OVER w", f"{c}_lag_{k}h") for c in TWO for k in X.LAGS)
+    + f"SELECT city_slug, ts, {rounded(WIDE)}, "
+    + ", ".join(r6(f"lag({c}, {k}) OVER w", f"{c}_lag_{k}h") for c in WIDE for k in X.LAGS)
     + ", "
-    + ", ".join(r6(f"avg({c}) OVER {frame_sql(k - 1)}", f"{c}_roll_{k}h") for c in TWO for k in X.ROLLING)
+    + ", ".join(r6(f"avg({c}) OVER {frame_sql(k - 1)}", f"{c}_roll_{k}h") for c in WIDE for k in X.ROLLING)
     + ", "
-    + ", ".join(r6(f"{c} - lag({c}, 24) OVER w", f"{c}_delta_24h") for c in TWO)
+    + ", ".join(r6(f"{c} - lag({c}, 24) OVER w", f"{c}_delta_24h") for c in WIDE)
     + ", "
     + ", ".join(r6(f"lead(us_aqi, {h}) OVER w", f"us_aqi_h{h}") for h in (1, 6, 24))
-    + ", hour(ts) AS hour, (dayofweek(ts) + 6) % 7 AS day_of_week, month(ts) AS month"
+    + ", hour(ts) AS hour, (dayofweek(ts) + 6) % 7 AS day_of_week, month(ts) AS month, "
+    + r6("pm2_5 / nullif(pm10, 0)", "pm25_pm10_ratio")
+    + ", "
+    + r6("carbon_monoxide / nullif(nitrogen_dioxide, 0)", "co_no2_ratio")
     + f" FROM hourly {W}",
 )
 def w_features(spark, d):
-    return X.feature_frame(I.hourly(spark, d, TWO), HOURLY, TWO, target="us_aqi", horizon=(1, 6, 24))
+    return X.feature_frame(I.hourly(spark, d, WIDE), HOURLY, WIDE, target="us_aqi", horizon=(1, 6, 24))
 
 
 def grid_fill(steps, cols=FILLED):
@@ -137,7 +141,7 @@ query("w08_interpolate_both", grid_fill_sql("both", None))(grid_fill([G.linear_s
     cte(
         "hourly",
         extra=[
-            "hp AS (SELECT city_slug, ts, pm2_5, pm10, us_aqi, row_number() OVER (PARTITION BY city_slug ORDER BY ts) - 1 AS pos FROM hourly)",
+            f"hp AS (SELECT city_slug, ts, {', '.join(FILLED)}, row_number() OVER (PARTITION BY city_slug ORDER BY ts) - 1 AS pos FROM hourly)",
             fill_sql("hp", "f1", FILLED, "linear", 6),
         ],
     )
@@ -168,8 +172,9 @@ def w09(spark, d):
     + f"SELECT city_slug, city_name, observed_at, event_id, {rounded(I.METRICS)} FROM recent WHERE rn = 1",
 )
 def w10(spark, d):
-    o = I.observations(spark, d)
-    newest = latest(o, ["city_slug"], "observed_at", [F.col("event_id").desc()], "7 DAYS", I.as_of(o))
+    as_of, since = I.trailing(spark, d, "7 DAYS")
+    o = I.observations(spark, d, since)
+    newest = latest(o, ["city_slug"], "observed_at", [F.col("event_id").desc()], "7 DAYS", as_of)
     return newest.select("city_slug", "city_name", "observed_at", "event_id", *I.METRICS)
 
 
@@ -179,7 +184,7 @@ USERS_SQL = """users AS (SELECT 'user_' || user_id AS city_slug, avg(us_aqi) AS
 @query(
     "w11_ranked_series",
     cte("obs", extra=[USERS_SQL])
-    + f"SELECT city_slug, {rounded(TWO)}, row_number() OVER (ORDER BY coalesce(pm2_5, 0) DESC, city_slug) AS rank FROM users",
+    + f"SELECT city_slug, {rounded(('us_aqi', 'pm2_5'))}, row_number() OVER (ORDER BY coalesce(pm2_5, 0) DESC, city_slug) AS rank FROM users",
 )
 def w11(spark, d):
     users = (
@@ -202,17 +207,17 @@ def w11c(spark, d):
     return S.ranked_cities(newest).select("city_slug", "observed_at", "us_aqi", "rank", "category")
 
 
-POS_SQL = """hp AS (SELECT city_slug, ts, us_aqi, pm2_5, row_number() OVER (PARTITION BY city_slug ORDER BY ts) - 1 AS pos,
+POS_SQL = f"""hp AS (SELECT city_slug, ts, {", ".join(WIDE)}, row_number() OVER (PARTITION BY city_slug ORDER BY ts) - 1 AS pos,
  count(*) OVER (PARTITION BY city_slug) AS n FROM hourly)"""
 SPLIT_SQL = """sp AS (SELECT *, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM hp)"""
 
 
 @query(
     "w12_chronological_split",
-    cte("hourly", extra=[POS_SQL, SPLIT_SQL]) + f"SELECT city_slug, ts, {rounded(TWO)}, split FROM sp",
+    cte("hourly", extra=[POS_SQL, SPLIT_SQL]) + f"SELECT city_slug, ts, {rounded(WIDE)}, split FROM sp",
 )
 def w12(spark, d):
-    return X.chronological_split(I.hourly(spark, d, TWO), HOURLY)
+    return X.chronological_split(I.hourly(spark, d, WIDE), HOURLY)
 
 
 def windows_summary(w):
@@ -244,8 +249,8 @@ WCOLS = ("x_sum", "x_first", "x_last", "y_sum", "y_first", "y_last")
 
 
 def _windows(spark, d):
-    split = X.chronological_split(I.hourly(spark, d, TWO), HOURLY, keep_helpers=True)
-    return X.supervised_windows(split, HOURLY, ["us_aqi", "pm2_5"], "us_aqi", 24, 6)
+    split = X.chronological_split(I.hourly(spark, d, WIDE), HOURLY, keep_helpers=True)
+    return X.supervised_windows(split, HOURLY, WIDE, "us_aqi", 24, 6)
 
 
 @query(
@@ -356,9 +361,9 @@ JS1 = "floor(({e}) * 10.0 + 0.5) / 10.0"
  {r6('CASE WHEN n < 2 THEN 0 ELSE ' + JS1.format(e='ch') + ' END', 'change_absolute')} FROM c""",
 )
 def w18(spark, d):
-    o = I.observations(spark, d)
-    h = I.hourly(spark, d, ["us_aqi"]).select("city_slug", F.col("ts").alias("hour"), F.col("us_aqi").alias("us_aqi_avg"))
-    return S.trend_over_range(S.in_range(h, I.as_of(o), 168), ["city_slug"])
+    as_of, since = I.trailing(spark, d, "168 HOURS")
+    h = I.hourly(spark, d, ["us_aqi"], since).select("city_slug", F.col("ts").alias("hour"), F.col("us_aqi").alias("us_aqi_avg"))
+    return S.trend_over_range(S.in_range(h, as_of, 168), ["city_slug"])
 
 
 BASE_SQL = """tl AS (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY ts DESC) AS rn FROM hourly),
@@ -379,10 +384,10 @@ def w19(spark, d):
 
 @query(
     "w20_tail_rows",
-    cte("hourly", extra=[BASE_SQL]) + f"SELECT city_slug, ts, {rounded(TWO)} FROM tl WHERE rn <= 48",
+    cte("hourly", extra=[BASE_SQL]) + f"SELECT city_slug, ts, {rounded(WIDE)} FROM tl WHERE rn <= 48",
 )
 def w20(spark, d):
-    return X.tail(I.hourly(spark, d, TWO), HOURLY, 48)
+    return X.tail(I.hourly(spark, d, WIDE), HOURLY, 48)
 
 
 def baseline(spark, d):
@@ -473,8 +478,8 @@ def median_sql(source, target, cols, by):
     "w28_impute_for_benchmark",
     cte("hgrid", extra=[
         fill_sql("hgrid", "f1", FILLED, "both", 6),
-        fill_sql("(SELECT city_slug, ts, pos, pm2_5, pm10, us_aqi FROM f1)", "f2", FILLED, "ffill", 24),
-        fill_sql("(SELECT city_slug, ts, pos, pm2_5, pm10, us_aqi FROM f2)", "f3", FILLED, "bfill", 24),
+        fill_sql("(SELECT city_slug, ts, pos, " + ", ".join(FILLED) + " FROM f1)", "f2", FILLED, "ffill", 24),
+        fill_sql("(SELECT city_slug, ts, pos, " + ", ".join(FILLED) + " FROM f2)", "f3", FILLED, "bfill", 24),
         median_sql("f3", "f4", FILLED, "city_slug"),
     ])
     + f"SELECT city_slug, ts, {rounded(FILLED)} FROM f4",
@@ -487,9 +492,9 @@ def w28(spark, d):
     "w29_impute_for_training",
     cte("hgrid", extra=[
         fill_sql("hgrid", "f1", FILLED, "linear", 6),
-        fill_sql("(SELECT city_slug, ts, pos, pm2_5, pm10, us_aqi FROM f1)", "f2", FILLED, "ffill", 24),
-        fill_sql("(SELECT city_slug, ts, pos, pm2_5, pm10, us_aqi FROM f2)", "f3", FILLED, "bfill", None),
-        "f3m AS (SELECT city_slug, ts, pos, pm2_5, pm10, us_aqi, month(ts) AS mon FROM f3)",
+        fill_sql("(SELECT city_slug, ts, pos, " + ", ".join(FILLED) + " FROM f1)", "f2", FILLED, "ffill", 24),
+        fill_sql("(SELECT city_slug, ts, pos, " + ", ".join(FILLED) + " FROM f2)", "f3", FILLED, "bfill", None),
+        "f3m AS (SELECT city_slug, ts, pos, " + ", ".join(FILLED) + ", month(ts) AS mon FROM f3)",
         median_sql("f3m", "f4", FILLED, "city_slug, mon"),
         median_sql("f4", "f5", FILLED, "city_slug"),
     ])

@@ -12,9 +12,15 @@ from breezeline.operators.rank import latest
 from breezeline.plans import inputs as I
 from breezeline.plans.inputs import HOURLY, SENSOR, cte, query, r6
 from breezeline.schema import METRICS
+from breezeline.operators.blocks import global_positions
 from breezeline.sources.tables import new_watermarks
 
 
+def in_order(df):
+    """Rows with their place in the order the frame has."""
+    return global_positions(df.withColumn("_i", F.monotonically_increasing_id()), [F.col("_i")], "place").drop("_i")
+
+
 def _bucket_sql(bucket: str, name: str, keep: str, stddev: bool) -> str:
     parts = [
         f"{r6(f'avg({m})', f'{m}_avg')}, {r6(f'max({m})', f'{m}_max')}, {r6(f'min({m})', f'{m}_min')}"
@@ -30,9 +36,9 @@ def _bucket_sql(bucket: str, name: str, keep: str, stddev: bool) -> str:
 
 
 def _bucket(spark, d, unit, keep, stddev=("pm2_5", "pm10")):
-    o = I.observations(spark, d)
+    newest, since = I.trailing(spark, d, keep)
     return A.bucket_aggregate(
-        o, unit, ["city_slug", "city_name"], "observed_at", METRICS, I.as_of(o), keep, stddev
+        I.observations(spark, d, since), unit, ["city_slug", "city_name"], "observed_at", METRICS, newest, keep, stddev
     )
 
 
@@ -269,11 +275,11 @@ def a19(spark, d):
     "a19_rmse_matrix",
     cte("bench")
     + "SELECT model, "
-    + ", ".join(r6(f"avg(rmse) FILTER (city = 'nation_{i}')", f"nation_{i}") for i in range(5))
+    + ", ".join(r6(f"avg(rmse) FILTER (city = 'nation_{i}')", f"nation_{i}") for i in range(25))
     + " FROM bench WHERE status = 'ok' AND rmse IS NOT NULL GROUP BY 1",
 )
 def a19m(spark, d):
-    return E.rmse_matrix(I.benchmark_rows(spark, d), [f"nation_{i}" for i in range(5)])
+    return E.rmse_matrix(I.benchmark_rows(spark, d), [f"nation_{i}" for i in range(25)])
 
 
 @query(
@@ -453,15 +459,16 @@ def a30(spark, d):
 @query(
     "u01_union_resorted",
     cte("obs", "sensors")
-    + f"""SELECT city_slug AS series, observed_at AS ts, {r6('us_aqi', 'value')} FROM obs
- UNION ALL SELECT sensor, ts, {r6('pm10', 'value')} FROM sensors""",
+    + f"""SELECT *, row_number() OVER (ORDER BY series, ts, value) AS place FROM (SELECT city_slug AS series, observed_at AS ts, {r6('us_aqi', 'value')} FROM obs
+ UNION ALL SELECT sensor, ts, {r6('pm10', 'value')} FROM sensors)""",
 )
 def u01(spark, d):
     one = I.observations(spark, d).select(
         F.col("city_slug").alias("series"), F.col("observed_at").alias("ts"), F.col("us_aqi").alias("value")
     )
     two = I.sensors(spark, d).select(F.col("sensor").alias("series"), "ts", F.col("pm10").alias("value"))
-    return one.unionByName(two).orderBy("series", "ts")
+    both = one.unionByName(two).withColumn("value", F.round(F.col("value") + 1e-9, 6) + 0.0)
+    return in_order(both.orderBy("series", "ts", "value"))
 
 
 @query(

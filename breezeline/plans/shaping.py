@@ -14,7 +14,7 @@ from breezeline.operators.fill import monthly_median_fill, threshold_mask
 from breezeline.operators.rank import latest, sort_option, top
 from breezeline.plans import inputs as I
 from breezeline.plans.inputs import FILLED, HOURLY, cte, query, r6, rounded
-from breezeline.plans.rollups import LATEST_SQL, VERIFIED_SQL, verified
+from breezeline.plans.rollups import LATEST_SQL, VERIFIED_SQL, in_order, verified
 from breezeline.schema import METRICS
 from breezeline.sources import clean as C
 from breezeline.sources.tables import new_watermarks
@@ -145,8 +145,10 @@ def p09(spark, d):
     cte("hourly", "newest") + f"SELECT city_slug, ts AS hour, {r6('us_aqi')} FROM hourly, newest WHERE ts >= as_of - INTERVAL 168 HOURS",
 )
 def p10(spark, d):
-    h = I.hourly(spark, d, ["us_aqi"]).withColumnRenamed("ts", "hour")
-    return S.in_range(h, I.as_of(I.observations(spark, d)), S.range_hours("7d"))
+    hours = S.range_hours("7d")
+    as_of, since = I.trailing(spark, d, f"{hours} HOURS")
+    h = I.hourly(spark, d, ["us_aqi"], since).withColumnRenamed("ts", "hour")
+    return S.in_range(h, as_of, hours)
 
 
 @query(
@@ -462,13 +464,14 @@ def u02(spark, d):
     cte("forecasts", "newest", extra=[
         TIMELINE_SQL,
         """hd AS (SELECT city_slug, avg(predicted_aqi) AS nm FROM (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY timestamp, model_type, predicted_aqi) AS k FROM line WHERE predicted_aqi IS NOT NULL) WHERE k <= 4 GROUP BY 1),
-sm AS (SELECT city_slug, coalesce(arg_max(actual_aqi, timestamp) FILTER (actual_aqi IS NOT NULL), 0) AS cur, count(predicted_aqi) AS forecast_points FROM line GROUP BY 1)""",
+sm AS (SELECT city_slug, coalesce(arg_max(actual_aqi, timestamp) FILTER (actual_aqi IS NOT NULL), 0) AS cur, count(predicted_aqi) AS forecast_points,
+ arg_max(model_type, (timestamp, model_type, predicted_aqi)) FILTER (model_type IS NOT NULL) AS mn, arg_max(confidence, (timestamp, model_type, predicted_aqi)) FILTER (confidence <> 0) AS mc FROM line GROUP BY 1)""",
     ])
-    + f"""SELECT city_slug, {r6('cur', 'current_aqi')}, {r6('coalesce(nm, 0)', 'next_mean')},
+    + f"""SELECT city_slug, {r6('cur', 'current_aqi')}, {r6('coalesce(nm, 0)', 'next_mean')}, CASE WHEN forecast_points > 0 THEN coalesce(mn, 'No Model Available') ELSE 'Awaiting Training' END AS model_name, {r6('coalesce(mc, 0)', 'model_confidence')},
  CASE WHEN coalesce(nm,0) > cur + 5 THEN 'up' WHEN coalesce(nm,0) < cur - 5 THEN 'down' ELSE 'stable' END AS trend, forecast_points FROM sm LEFT JOIN hd USING (city_slug)""",
 )
 def j11(spark, d):
-    return S.prediction_summary(_line(spark, d)).drop("model_name", "model_confidence")
+    return S.prediction_summary(_line(spark, d))
 
 
 # ---- sorts and top-k -------------------------------------------------------------------
@@ -476,10 +479,11 @@ def j11(spark, d):
 
 @query(
     "l01_ordered_hourly",
-    cte("obs") + f"SELECT city_slug, date_trunc('hour', observed_at) AS hour, {r6('avg(us_aqi)', 'us_aqi')} FROM obs GROUP BY 1, 2 ORDER BY 1, 2 DESC",
+    cte("obs") + f"SELECT city_slug, date_trunc('hour', observed_at) AS hour, {r6('avg(us_aqi)', 'us_aqi')}, row_number() OVER (ORDER BY city_slug, date_trunc('hour', observed_at) DESC) AS place FROM obs GROUP BY 1, 2",
 )
 def l01(spark, d):
-    return I.hourly(spark, d, ["us_aqi"]).withColumnRenamed("ts", "hour").orderBy("city_slug", F.col("hour").desc())
+    h = I.hourly(spark, d, ["us_aqi"]).withColumnRenamed("ts", "hour")
+    return in_order(h.orderBy("city_slug", F.col("hour").desc()))
 
 
 @query(
@@ -594,19 +598,34 @@ def l06f(spark, d):
     return E.fastest(_pool(spark, d)).select("city", "phase", "model", "train_seconds")
 
 
-@query("l07_metrics_table", cte("bench") + f"SELECT row_id, city, status, model, {r6('rmse')} FROM bench")
+@query(
+    "l07_metrics_table",
+    cte("bench")
+    + f"SELECT row_id, city, status, model, {r6('rmse')}, row_number() OVER (ORDER BY city NULLS LAST, status NULLS LAST, rmse NULLS LAST, model NULLS LAST, row_id) AS place FROM bench",
+)
 def l07(spark, d):
-    return E.metrics_table(I.benchmark_rows(spark, d)).select("row_id", "city", "status", "model", "rmse")
+    b = I.benchmark_rows(spark, d).select("row_id", "city", "status", "model", "rmse")
+    return in_order(E.metrics_table(b, ("city", "status", "rmse", "model", "row_id")))
 
 
-@query(
-    "l08_city_grid_by_aqi",
-    cte("obs", extra=[LATEST_SQL]) + f"SELECT city_slug, city_name, {r6('us_aqi', 'current_aqi')}, {r6('pm2_5')} FROM latest",
-)
-def l08(spark, d):
-    newest = latest(I.observations(spark, d), ["city_slug"], "observed_at", [F.col("event_id").desc()])
-    grid = newest.select("city_slug", "city_name", F.col("us_aqi").alias("current_aqi"), "pm2_5")
-    return grid.orderBy(*sort_option("aqi"))
+GRID_ORDERS = {"aqi": "coalesce(us_aqi, 0) DESC", "pm2_5": "coalesce(pm2_5, 0) DESC", "name": "city_name"}
+
+
+def _grid(option):
+    def run(spark, d):
+        newest = latest(I.observations(spark, d), ["city_slug"], "observed_at", [F.col("event_id").desc()])
+        grid = newest.select("city_slug", "city_name", F.col("us_aqi").alias("current_aqi"), "pm2_5")
+        return in_order(grid.orderBy(*sort_option(option)))
+
+    return run
+
+
+for _option, _order in GRID_ORDERS.items():
+    query(
+        f"l08_city_grid_by_{_option}",
+        cte("obs", extra=[LATEST_SQL])
+        + f"SELECT city_slug, city_name, {r6('us_aqi', 'current_aqi')}, {r6('pm2_5')}, row_number() OVER (ORDER BY {_order}, city_slug) AS place FROM latest",
+    )(_grid(_option))
 
 
 MODEL_NAMES = {"1-URGENT": "ARIMA", "2-HIGH": "Random_Forest", "3-MEDIUM": "GRU", "4-NOT SPECIFIED": "CNN-LSTM"}
@@ -624,10 +643,14 @@ def _named_models(b):
     "l09_comparison_table",
     cte("bench", extra=[POOL_SQL, f"nm AS (SELECT *, {MODEL_CASE} AS m FROM pool)"])
     + """SELECT m AS model, CASE m WHEN 'ARIMA' THEN 'Statistical' WHEN 'Random_Forest' THEN 'Classical ML' WHEN 'GRU' THEN 'DL Sequence'
- WHEN 'CNN-LSTM' THEN 'DL Hybrid' ELSE 'Spatio-Temporal' END AS phase_label, round(round(rmse, 2) + 1e-9, 6) AS rmse, round(round(mae, 2) + 1e-9, 6) AS mae, round(round(r2, 3) + 1e-9, 6) AS r2 FROM nm""",
+ WHEN 'CNN-LSTM' THEN 'DL Hybrid' ELSE 'Spatio-Temporal' END AS phase_label, round(round(rmse, 2) + 1e-9, 6) AS rmse, round(round(mae, 2) + 1e-9, 6) AS mae, round(round(r2, 3) + 1e-9, 6) AS r2, dense_rank() OVER (ORDER BY round(rmse, 2), m) AS place FROM nm""",
 )
 def l09(spark, d):
-    return E.comparison_table(_named_models(_pool(spark, d)))
+    """Rows that are equal in model and rounded RMSE share a place."""
+    table = in_order(E.comparison_table(_named_models(_pool(spark, d))))
+    first = table.groupBy("rmse", "model").agg(F.min("place").alias("_first"))
+    ranks = in_order(first.orderBy("_first")).select("rmse", "model", "place")
+    return table.drop("place").join(ranks, ["rmse", "model"])
 
 
 # ---- scalar functions ------------------------------------------------------------------
@@ -685,6 +708,12 @@ CAT_GE = "CASE WHEN {x} >= 300 THEN 'hazardous' WHEN {x} >= 200 THEN 'very_unhea
 CAT_IN = "CASE WHEN {x} IS NULL THEN NULL WHEN {x} BETWEEN 0 AND 50 THEN 'good' WHEN {x} BETWEEN 51 AND 100 THEN 'moderate' WHEN {x} BETWEEN 101 AND 150 THEN 'unhealthy_sg' WHEN {x} BETWEEN 151 AND 200 THEN 'unhealthy' WHEN {x} BETWEEN 201 AND 300 THEN 'very_unhealthy' ELSE 'hazardous' END"
 
 
+def advice_sql(category: str, audience: int) -> str:
+    quoted = {k: v[audience].replace("'", "''") for k, v in bands.HEALTH_ADVISORIES.items()}
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in quoted.items())
+    return f"CASE {category} {cases} ELSE '{quoted['moderate']}' END"
+
+
 @query(
     "f08_bands",
     cte("obs")
@@ -694,7 +723,8 @@ CAT_IN = "CASE WHEN {x} IS NULL THEN NULL WHEN {x} BETWEEN 0 AND 50 THEN 'good'
  CASE {CAT_GE.format(x='pm2_5')} WHEN 'good' THEN 'Maintain normal activities.' WHEN 'moderate' THEN 'Consider limiting prolonged outdoor exertion; keep windows closed during peak hours.'
   WHEN 'unhealthy_sg' THEN 'Reduce prolonged outdoor exertion. Consider moving exertion indoors or rescheduling.' WHEN 'unhealthy' THEN 'Avoid outdoor exertion; stay indoors as much as possible.'
   WHEN 'very_unhealthy' THEN 'Health warning of emergency conditions: the entire population is more likely to be affected.'
-  ELSE 'Everyone should avoid all outdoor exertion; remain indoors and keep activity levels low.' END AS advice FROM obs""",
+  ELSE 'Everyone should avoid all outdoor exertion; remain indoors and keep activity levels low.' END AS advice,
+ {advice_sql(CAT_GE.format(x='pm2_5'), 0)} AS advice_general, {advice_sql(CAT_GE.format(x='pm2_5'), 2)} AS advice_children FROM obs""",
 )
 def f08(spark, d):
     """Bands, colours, advice, risk."""
@@ -705,6 +735,8 @@ def f08(spark, d):
         bands.risk_band("pm2_5").alias("risk"),
         bands.category_color(bands.category("pm2_5")).alias("color"),
         bands.advisory(bands.category("pm2_5"), "sensitive_groups").alias("advice"),
+        bands.advisory(bands.category("pm2_5")).alias("advice_general"),
+        bands.advisory(bands.category("pm2_5"), "children").alias("advice_children"),
     )
 
 
@@ -847,10 +879,16 @@ def f23(spark, d):
     ])
     + f"""SELECT l.city_slug, l.observed_at, {r6('l.us_aqi', 'us_aqi')}, {CAT_IN.format(x='l.us_aqi')} AS category,
  CASE WHEN n IS NULL OR n < 2 OR abs(pct) < 2 THEN 'stable' WHEN ch > 0 THEN 'increasing' ELSE 'decreasing' END AS direction,
- {r6('CASE WHEN n IS NULL OR n < 2 THEN 0 ELSE floor(ch / n * 100.0 + 0.5) / 100.0 END', 'slope')} FROM latest l LEFT JOIN c USING (city_slug)""",
+ {r6('CASE WHEN n IS NULL OR n < 2 THEN 0 ELSE floor(ch / n * 100.0 + 0.5) / 100.0 END', 'slope')},
+ {r6('CASE WHEN n IS NULL OR n < 2 THEN 0 ELSE floor(pct * 10.0 + 0.5) / 10.0 END', 'change_percent')},
+ {advice_sql(CAT_IN.format(x='l.us_aqi'), 0)} AS advice, {advice_sql(CAT_IN.format(x='l.us_aqi'), 1)} AS advice_sensitive, {advice_sql(CAT_IN.format(x='l.us_aqi'), 2)} AS advice_children
+ FROM latest l LEFT JOIN c USING (city_slug)""",
 )
 def serve_city_report(spark, d):
     o = I.observations(spark, d)
     newest = latest(o, ["city_slug"], "observed_at", [F.col("event_id").desc()])
     report = S.city_report(newest, _hour_avg(spark, d), I.as_of(o))
-    return report.select("city_slug", "observed_at", "us_aqi", "category", "direction", "slope")
+    return report.select(
+        "city_slug", "observed_at", "us_aqi", "category", "direction", "slope", "change_percent",
+        "advice", "advice_sensitive", "advice_children",
+    )

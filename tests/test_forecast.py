@@ -7,32 +7,75 @@ from breezeline.operators import evaluate as E
 from breezeline.operators import forecast as P
 from breezeline.operators import scaling as Z
 from breezeline.operators import serve as S
+from breezeline.operators.features import chronological_split
 from tests.helpers import START, TINY, collected, random_series, to_spark
 
 
-def test_var_recursion_matches_numpy(spark):
-    pdf = random_series(51, n=80, nulls=0.0)
-    rng = np.random.default_rng(1)
-    pdf["y"] = pdf["x"].shift(1).fillna(0) * 0.3 + rng.normal(0, 1, len(pdf)).round(3)
-    df = to_spark(spark, pdf)
-    b, a = P.fit_var(df, TINY, ["x", "y"], 2)
+def numpy_var(pdf, lags, most):
+    """Coefficients (metric by metric, newest first) and AIC on the rows with ``most`` past ones."""
     rows, targets = [], []
     for _, g in pdf.groupby("k"):
         v = g[["x", "y"]].to_numpy()
-        for i in range(2, len(v)):
-            rows.append([1.0, v[i - 1, 0], v[i - 2, 0], v[i - 1, 1], v[i - 2, 1]])
+        for i in range(most, len(v)):
+            rows.append([1.0, *(v[i - j, c] for c in range(2) for j in range(1, lags + 1))])
             targets.append(v[i])
-    beta, *_ = np.linalg.lstsq(np.array(rows), np.array(targets), rcond=None)
+    rows, targets = np.array(rows), np.array(targets)
+    beta, *_ = np.linalg.lstsq(rows, targets, rcond=None)
+    rest = targets - rows @ beta
+    return beta, np.linalg.slogdet(rest.T @ rest / len(rows))[1] + 2 * 2 * (2 * lags + 1) / len(rows)
+
+
+def test_var_order_and_recursion_match_numpy(spark):
+    pdf = random_series(51, n=120, nulls=0.0)
+    rng = np.random.default_rng(1)
+    pdf["x"] = rng.normal(0, 1, len(pdf))
+    pdf["y"] = pdf["x"].shift(3).fillna(0) * 0.9 + rng.normal(0, 0.1, len(pdf))
+    df = to_spark(spark, pdf)
+    b, a, lags = P.fit_var(df, TINY, ["x", "y"], 6)
+    want = min(range(1, 7), key=lambda p: numpy_var(pdf, p, 6)[1])
+    assert lags == want >= 3
+    beta, _ = numpy_var(pdf, lags, 6)
     np.testing.assert_allclose(a, beta[0], atol=1e-6)
     np.testing.assert_allclose(b, beta[1:].T, atol=1e-6)
-    got = P.forecast_var(df, TINY, ["x", "y"], b, a, 2, 5).toPandas()
+    got = P.forecast_var(df, TINY, ["x", "y"], b, a, lags, 5).toPandas()
     for k, g in pdf.groupby("k"):
         h = [row for row in g[["x", "y"]].to_numpy()]
         for step in range(1, 6):
-            z = np.array([1.0, h[-1][0], h[-2][0], h[-1][1], h[-2][1]])
+            z = np.array([1.0, *(h[-j][c] for c in range(2) for j in range(1, lags + 1))])
             h.append(z @ beta)
             mine = got[(got["k"] == k) & (got["horizon_hours"] == step)].iloc[0]
             np.testing.assert_allclose([mine["x"], mine["y"]], h[-1], atol=1e-5)
+    with pytest.raises(P.TooFewRows):
+        P.fit_var(df.where("x > 1e9"), TINY, ["x", "y"], 2)
+
+
+def test_a_known_function_is_learned(spark):
+    hours = np.arange(400)
+    pdf = pd.DataFrame({"k": "a", "ts": START + pd.to_timedelta(hours, unit="h"), "x": 50 + 20 * np.sin(hours * np.pi / 12)})
+    frame, names = P.supervised_frame(to_spark(spark, pdf), TINY, ["x"], "x", (1, 6))
+    for spec, params, most in (("linear", {}, 0.01), ("random_forest", {"numTrees": 20}, 3.0), ("xgboost", {"maxIter": 20, "stepSize": 0.3}, 3.0)):
+        models = P.fit_direct(frame, TINY, names, "x", (1, 6), spec, **params)
+        scored = P.predict_direct(models, frame.where("split = 'test'"), TINY, "x").where("actual IS NOT NULL")
+        assert E.regression_metrics(scored, [], "actual", "predicted").first()["rmse"] < most
+
+
+def test_specs_have_their_own_settings_and_errors_are_not_swallowed(spark):
+    assert P.estimator("xgboost").getMaxIter() == 220 and P.estimator("lightgbm").getMaxIter() == 260
+    assert P.estimator("random_forest").getNumTrees() == 180 and P.estimator("linear", regParam=0.5).getRegParam() == 0.5
+    pdf = random_series(57, n=60, nulls=0.0)
+    with pytest.raises(Exception):
+        P.benchmark_matrix(to_spark(spark, pdf), TINY, ["x"], "x", (1,), ["linear"], city="k", params={"linear": {"nope": 1}})
+    frame, names = P.supervised_frame(to_spark(spark, pdf), TINY, ["x"], "x", (1,))
+    with pytest.raises(P.TooFewRows):
+        P.fit_direct(frame.where("1 = 0"), TINY, names, "x", (1,), "linear")
+
+
+def test_training_rows_stop_at_the_split_that_was_made(spark):
+    pdf = random_series(58, n=100, series=("a",), nulls=0.0)
+    split = chronological_split(to_spark(spark, pdf), TINY, train=0.8, val=0.1, keep_helpers=True)
+    frame = split.withColumn("x_h5", F.col("x"))
+    rows = frame.where("split = 'train'").where(F.col("_pos") + 5 < F.col("_to"))
+    assert rows.agg(F.max("_pos")).first()[0] == 74
 
 
 def test_baseline_is_last_value_plus_mean_step(spark):

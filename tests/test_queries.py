@@ -31,8 +31,8 @@ def test_entry(spark):
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF).toPandas()
     sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert len(got) >= 0 and len(got.columns)
+    if sql is None:  # held by tests of their own
+        assert name.startswith(("op", "pipeline")) and len(got) and len(got.columns)
         return
     want = db.execute(sql).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)

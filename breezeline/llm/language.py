@@ -17,6 +17,7 @@ from breezeline.session import materialise
 
 ship(__name__)
 
+_CACHED_WORDS = 1 << 16  # words whose values a Python worker keeps at hand
 _WORD = re.compile(r"[^\W\d_]+")
 WORD = 0  # order of whole words in the count table; n-grams have their length
 
@@ -32,7 +33,7 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _counts(orders: int, flush: int = 200_000):
+def _counts(orders: int, flush: int = 100_000):
     """Counts of words and n-grams of each task's texts; handed on whenever there are ``flush`` of them."""
 
     def rows(counts: Counter) -> pa.RecordBatch:
@@ -53,9 +54,9 @@ def _counts(orders: int, flush: int = 200_000):
                     for n in range(1, orders + 1):
                         for gram in grams_of(word, n):
                             counts[lang, n, gram] += c
-                if len(counts) >= flush:
-                    yield rows(counts)
-                    counts = Counter()
+                    if len(counts) >= flush:
+                        yield rows(counts)
+                        counts = Counter()
         yield rows(counts)
 
     return run
@@ -113,11 +114,11 @@ class LanguageModel:
         words = words_of(text or "")
         if not words or not self.languages:
             return "und", 0.0
-        if len(self.known) > 300_000:
-            self.forget()
         total = np.zeros(len(self.languages))
-        for lo in range(0, len(words), 1 << 16):
-            rows = list(map(self.index, words[lo : lo + (1 << 16)]))
+        for lo in range(0, len(words), 1 << 14):
+            if len(self.known) > _CACHED_WORDS:
+                self.forget()
+            rows = list(map(self.index, words[lo : lo + (1 << 14)]))
             total += self.values[rows].sum(0)
         best = int(np.argmin(total))
         return self.languages[best], float(1 / np.exp(-np.log(10) * np.minimum(total - total[best], 300)).sum())
@@ -193,7 +194,7 @@ def learn_and_predict(docs: DataFrame, folds: int = 4, fold: int = 2, **settings
 def with_known_language(docs: DataFrame, least_score: float = 0.5, folds: int = 4, fold: int = 2) -> DataFrame:
     """The rows, with all columns, whose text is in one of the learned languages with a score of ``least_score`` or
     more; texts without letters go."""
-    marked = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text", held_out("doc_id", folds, fold).alias("out"))
-    guess = predictor(docs.sparkSession, fit(marked.filter(~F.col("out")).select("doc_id", "lang", "text")))
-    scored = marked.select("row", guess(F.col("text")).alias("p"))
+    learned = docs.filter(~held_out("doc_id", folds, fold)).select("doc_id", "lang", "text")
+    guess = predictor(docs.sparkSession, fit(learned))
+    scored = docs.select(F.struct("*").alias("row")).select("row", guess(F.col("row.text")).alias("p"))
     return scored.filter((F.col("p.lang_pred") != "und") & (F.col("p.score") >= least_score)).select("row.*")

@@ -19,6 +19,7 @@ ship(__name__)
 
 _CACHED_WORDS = 1 << 16  # words whose values a Python worker keeps at hand
 _WORD = re.compile(r"[^\W\d_]+")
+_EDGE = re.compile(r"[\W\d_]")
 WORD = 0  # order of whole words in the count table; n-grams have their length
 
 
@@ -27,6 +28,17 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def word_parts(text: str, chars: int = 1 << 16) -> Iterator[list[str]]:
+    """The words of a text in lists of about ``chars`` characters, cut between words, so that a very long text is
+    never a list of all its words."""
+    text, start = text.lower(), 0
+    while start < len(text):
+        edge = _EDGE.search(text, start + chars)
+        stop = edge.start() if edge else len(text)
+        yield _WORD.findall(text, start, stop)
+        start = stop
+
+
 def grams_of(word: str, n: int) -> list[str]:
     """Character n-grams of a word between two spaces."""
     padded = f" {word} "
@@ -49,7 +61,10 @@ def _counts(orders: int, flush: int = 100_000):
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 lang = lang.as_py()
-                for word, c in Counter(words_of(text.as_py())).items():
+                seen: Counter = Counter()
+                for part in word_parts(text.as_py()):
+                    seen.update(part)
+                for word, c in seen.items():
                     counts[lang, WORD, word] += c
                     for n in range(1, orders + 1):
                         for gram in grams_of(word, n):
@@ -111,15 +126,14 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of least mean value (ties: the first by name) and its posterior; ``und`` without letters."""
-        words = words_of(text or "")
-        if not words or not self.languages:
-            return "und", 0.0
-        total = np.zeros(len(self.languages))
-        for lo in range(0, len(words), 1 << 14):
+        total, n = np.zeros(len(self.languages)), 0
+        for words in word_parts(text or ""):
             if len(self.known) > _CACHED_WORDS:
                 self.forget()
-            rows = list(map(self.index, words[lo : lo + (1 << 14)]))
-            total += self.values[rows].sum(0)
+            total += self.values[list(map(self.index, words))].sum(0)
+            n += len(words)
+        if not n or not self.languages:
+            return "und", 0.0
         best = int(np.argmin(total))
         return self.languages[best], float(1 / np.exp(-np.log(10) * np.minimum(total - total[best], 300)).sum())
 

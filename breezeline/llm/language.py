@@ -130,7 +130,8 @@ class LanguageModel:
         for words in word_parts(text or ""):
             if len(self.known) > _CACHED_WORDS:
                 self.forget()
-            total += self.values[list(map(self.index, words))].sum(0)
+            rows = list(map(self.index, words))  # may move self.values
+            total += self.values[rows].sum(0)
             n += len(words)
         if not n or not self.languages:
             return "und", 0.0

@@ -23,7 +23,7 @@ ship(__name__)
 
 SPACE = "▁"  # fixed value: how the model writes a space
 UNKNOWN_TEXT = " ⁇ "  # fixed value: how the library decodes the unknown piece
-_MOST_CACHED = 600_000
+_MOST_CACHED = 300_000
 
 
 def _one_mark_per_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -332,45 +332,56 @@ def encode(docs: DataFrame, model: bytes, *keep: Column, text_col: str = "text",
     ``model`` is the content of a merge model file; its vocabulary (of fixed size) is broadcast. Whole texts are
     encoded; null and empty texts give the begin and end ids only. Words are remembered in bounded tables. Results
     leave a task in pieces of about ``least_cut`` bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = shared.value.encoder()
-        for batch in batches:
-            yield from _cut(batch, "ids", pa.binary(), lambda t: work.encode(t or ""), least_cut)
-
     narrow = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return narrow.mapInArrow(run, _schema(narrow, "ids binary"))
+    return _mapped(narrow, model, {"ids": "binary"}, lambda work, t: (work.encode(t or ""),), least_cut)
 
 
 def decode(rows: DataFrame, model: bytes, *keep: Column, ids_col: str = "ids", least_cut: int = 8 << 20) -> DataFrame:
     """The ``keep`` columns of every row with ``decoded``, the text of its ids; null ids give an empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(Pieces(model))
+    narrow = rows.select(*keep, F.col(ids_col).alias("_ids"))
+    return _mapped(narrow, model, {"decoded": "string"}, lambda work, ids: (work.decode(ids or b""),), least_cut)
+
+
+def encode_and_decode(
+    docs: DataFrame, model: bytes, *keep: Column, text_col: str = "text", least_cut: int = 8 << 20
+) -> DataFrame:
+    """The ``keep`` columns of every row with ``ids`` as from ``encode`` and ``decoded``, the text that ``decode``
+    gives for these ids. Both are made in one pass, so a task holds one Python worker and one vocabulary, not two."""
+
+    def both(work: Encoder, text: str | None) -> tuple[bytes, str]:
+        ids = work.encode(text or "")
+        return ids, work.decode(ids)
+
+    narrow = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    return _mapped(narrow, model, {"ids": "binary", "decoded": "string"}, both, least_cut)
+
+
+def _mapped(narrow: DataFrame, model: bytes, made: dict[str, str], make, least_cut: int) -> DataFrame:
+    """Replace the last column by the columns that ``make`` gives for its values."""
+    shared = narrow.sparkSession.sparkContext.broadcast(Pieces(model))
+    kinds = {"binary": pa.binary(), "string": pa.string()}
+    columns = {name: kinds[kind] for name, kind in made.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = shared.value.encoder()
         for batch in batches:
-            yield from _cut(batch, "decoded", pa.string(), lambda t: work.decode(t or b""), least_cut)
-
-    narrow = rows.select(*keep, F.col(ids_col).alias("_ids"))
-    return narrow.mapInArrow(run, _schema(narrow, "decoded string"))
-
+            yield from _cut(batch, columns, lambda cell: make(work, cell), least_cut)
 
-def _schema(narrow: DataFrame, last: str) -> str:
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]]
-    return ", ".join([*kept, last])
+    return narrow.mapInArrow(run, ", ".join([*kept, *(f"{name} {kind}" for name, kind in made.items())]))
 
 
-def _cut(batch: pa.RecordBatch, name: str, kind, make, least: int) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch, columns: dict[str, pa.DataType], make, least: int) -> Iterator[pa.RecordBatch]:
     """Replace the last column by what ``make`` gives for it, in batches of a bounded size."""
-    names = [*batch.schema.names[:-1], name]
+    names = [*batch.schema.names[:-1], *columns]
     values, first, size = [], 0, 0
     for i, cell in enumerate(batch.column(batch.num_columns - 1)):
         values.append(make(cell.as_py()))
-        size += len(values[-1])
+        size += sum(map(len, values[-1]))
         if size >= least or i == batch.num_rows - 1:
             kept = [c.slice(first, len(values)) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(values, kind)], names=names)
+            new = [pa.array(v, kind) for v, kind in zip(zip(*values), columns.values())]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=names)
             values, first, size = [], i + 1, 0
 
 

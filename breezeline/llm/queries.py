@@ -56,8 +56,7 @@ def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's piece ids and of their decoded text."""
     model = pieces.read_model(spark, public_tokenizers.path(PIECE_MODEL))
-    encoded = pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, F.col("doc_id"))
-    done = pieces.decode(encoded, model, F.col("doc_id"), F.col("ids"))
+    done = pieces.encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, F.col("doc_id"))
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -38,8 +38,7 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.read_model(spark, public_tokenizers.path("piece_bpe_32k.model"))
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.sha2(F.translate(text, pieces.SPACE, " ").cast("binary"), 256)
-    encoded = pieces.encode(docs, model, F.col("doc_id"), F.col("source"), digest.alias("digest"))
-    done = pieces.decode(encoded, model, F.col("doc_id"), F.col("source"), F.col("digest"), F.col("ids"))
+    done = pieces.encode_and_decode(docs, model, F.col("doc_id"), F.col("source"), digest.alias("digest"))
     back = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("digest")
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return done.select("doc_id", "source", n_tokens.alias("n_tokens"), "ids", back.alias("round_trip"))

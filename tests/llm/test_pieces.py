@@ -78,6 +78,16 @@ def test_odd_documents(spark):
         assert ids == library_ids(r.had or "") and r.decoded == LIBRARY.decode(ids) == (r.had or "")
 
 
+def test_one_pass_gives_the_same(spark):
+    docs = documents(spark).withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
+    got = pieces.encode_and_decode(docs, MODEL, F.col("doc_id"), F.col("text").alias("had"), least_cut=2000).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert ids == library_ids(r.had or "") and r.decoded == LIBRARY.decode(ids)
+    assert pieces.encode_and_decode(no_documents(spark), MODEL, F.col("doc_id")).count() == 0
+
+
 def test_no_documents(spark):
     encoded = pieces.encode(no_documents(spark), MODEL, F.col("doc_id"))
     assert pieces.decode(encoded, MODEL, F.col("doc_id")).count() == 0

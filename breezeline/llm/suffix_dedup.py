@@ -23,7 +23,7 @@ from breezeline.session import materialise
 
 ship(__name__)
 
-_START_BITS = 40  # of a place: the start; the bits above it hold part of the text's hash
+_START_BITS = 40  # of a place: the start; the bits above it hold part of a second hash of the text
 _CHUNK = 1 << 23  # windows looked at together; positions then fit the low 24 bits of a key
 _EVEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,18 +153,18 @@ def _pieces(least: int, anchor: int, heavy, flush: int = 1_000_000):
 
     Pieces of heavy anchors, which very many different pieces share, are cut into single windows, each its own
     anchor, so that such an anchor has no group of its own."""
-    names = ["anchor", "content", "id", "place", "span", "again"]
+    names = ["anchor", "content", "id", "mark", "place", "span", "again"]
 
     def rows(kept: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchors, contents, ids, places, spans = (np.concatenate(x) for x in zip(*kept))
-        order = np.lexsort((places, ids, contents, anchors))
-        anchors, contents, ids, places, spans = (x[order] for x in (anchors, contents, ids, places, spans))
+        anchors, contents, ids, marks, places, spans = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((places, marks, ids, contents, anchors))
+        anchors, contents, ids, marks, places, spans = (x[order] for x in (anchors, contents, ids, marks, places, spans))
         again = np.concatenate([[False], (anchors[1:] == anchors[:-1]) & (contents[1:] == contents[:-1])])
-        again[1:] &= (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
+        again[1:] &= (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (places[1:] != places[:-1])
         alone = (contents.view(np.uint64) + ids.view(np.uint64) * _EVEN) ^ (places.view(np.uint64) * _EVEN)
         anchors = np.where(again, alone.view(np.int64), anchors)
         for lo in range(0, len(anchors), 1 << 17):
-            part = [pa.array(x[lo : lo + (1 << 17)]) for x in (anchors, contents, ids, places, spans.astype(np.int32), again)]
+            part = [pa.array(x[lo : lo + (1 << 17)]) for x in (anchors, contents, ids, marks, places, spans.astype(np.int32), again)]
             yield pa.RecordBatch.from_arrays(part, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +172,7 @@ def _pieces(least: int, anchor: int, heavy, flush: int = 1_000_000):
         count = 0
         hashed, known = xxhash.xxh3_64_intdigest, heavy.value if heavy is not None else np.empty(0, np.int64)
         for batch in batches:
-            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, mark, cell in zip(ids, marks, batch.column(2)):
+            for doc, mark, head, cell in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 data = cell.as_py()
                 if len(data) < least:
                     continue
@@ -184,7 +183,7 @@ def _pieces(least: int, anchor: int, heavy, flush: int = 1_000_000):
                 contents = np.fromiter(
                     (hashed(data[a:b], 1) for a, b in zip(starts.tolist(), ends)), np.uint64, len(starts)
                 )
-                kept.append((anchors, contents.view(np.int64), np.full(len(starts), doc), starts + mark, spans))
+                kept.append((anchors, contents.view(np.int64), *(np.full(len(starts), x) for x in (doc, mark)), starts + head, spans))
                 count += len(starts)
                 if count >= flush:
                     yield from rows(kept)
@@ -232,21 +231,21 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pieces sorted by anchor, content and place: those that repeat an earlier equal piece (``kind`` 0), and those
     first of their content that share an anchor with other contents (1). All others hold no repeated window."""
-    for anchor, content, doc, place, span, again in _sorted_groups(batches):
+    for anchor, content, doc, mark, place, span, again in _sorted_groups(batches):
         same_anchor = np.concatenate([[False], anchor[1:] == anchor[:-1]])
         same = np.concatenate([[False], content[1:] == content[:-1]]) & same_anchor
         # rows equal in id and text are one document: its copies are first wherever it is
         lead = np.flatnonzero(~same)
         lead = lead[np.cumsum(~same) - 1]
-        twin = same & (doc == doc[lead]) & (place == place[lead])
+        twin = same & (doc == doc[lead]) & (mark == mark[lead]) & (place == place[lead])
         repeat = (same & ~twin) | again
         group = np.cumsum(~same_anchor) - 1
         contents = np.bincount(group, weights=~same)[group]
         first = ~same & ~again & (contents > 1)
         keep = repeat | first
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (doc, place, span, anchor, np.where(repeat, 0, 1).astype(np.int32))],
-            names=["id", "place", "span", "anchor", "kind"],
+            [pa.array(x[keep]) for x in (doc, mark, place, span, anchor, np.where(repeat, 0, 1).astype(np.int32))],
+            names=["id", "mark", "place", "span", "anchor", "kind"],
         )
 
 
@@ -257,20 +256,20 @@ def _texts(least: int):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for doc, packed, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, mark, packed, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 data = unpack.decompress(packed)
                 for piece in wanted:
                     start = piece["place"] & ((1 << _START_BITS) - 1)
-                    out.append((piece["anchor"], doc, piece["place"], data[start : start + piece["span"] + least - 1]))
+                    out.append((piece["anchor"], doc, mark, piece["place"], data[start : start + piece["span"] + least - 1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], [], []), _TEXT_KINDS)],
-                names=["anchor", "id", "place", "piece"],
+                [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, _TEXT_KINDS)],
+                names=["anchor", "id", "mark", "place", "piece"],
             )
 
     return run
 
 
-_TEXT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_TEXT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _compared(least: int, block_bytes: int):
@@ -278,7 +277,7 @@ def _compared(least: int, block_bytes: int):
 
     def block(frames: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(frames, ignore_index=True)
-        rows = rows.drop_duplicates(["anchor", "id", "place"]).sort_values(["id", "place"], kind="stable")
+        rows = rows.drop_duplicates(["anchor", "id", "mark", "place"]).sort_values(["id", "mark", "place"], kind="stable")
         flags = repeated_windows(rows["piece"].to_list(), least)
         change = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
         lo, hi = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
@@ -286,7 +285,8 @@ def _compared(least: int, block_bytes: int):
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         piece = np.searchsorted(begin, lo, "right") - 1
         place = rows["place"].to_numpy()[piece] + (lo - begin[piece])
-        return pd.DataFrame({"id": rows["id"].to_numpy()[piece], "place": place, "span": (hi - lo).astype(np.int32)})
+        owner = {name: rows[name].to_numpy()[piece] for name in ("id", "mark")}
+        return pd.DataFrame({**owner, "place": place, "span": (hi - lo).astype(np.int32)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -328,8 +328,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pack = zstandard.ZstdCompressor(3)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([pack.compress(t.as_py()) for t in batch.column(2)], pa.binary())],
-            names=["id", "mark", "packed"],
+            [*batch.columns[:3], pa.array([pack.compress(t.as_py()) for t in batch.column(3)], pa.binary())],
+            names=["id", "mark", "head", "packed"],
         )
 
 
@@ -379,7 +379,7 @@ def _heavy_anchors(texts: DataFrame, least: int, anchor: int, sample_rows: int,
     return spark.sparkContext.broadcast(np.sort(top["anchor"].to_numpy().astype(np.int64)))
 
 
-_PIECE_KINDS = "anchor long, content long, id long, place long, span int, again boolean"
+_PIECE_KINDS = "anchor long, content long, id long, mark long, place long, span int, again boolean"
 
 
 def remove_repeats(
@@ -404,25 +404,28 @@ def remove_repeats(
 
     Null and empty texts have no bytes. Of rows that share a doc_id, different texts follow each other in the order of
     a hash, equal texts are one document and give the same result. Null ids sort last. An empty table gives no rows.
+    Texts of one id are told apart by 86 bits of hashes. Equal pieces are known by their anchor and a 64-bit hash of
+    their content, not compared byte by byte; different pieces of one anchor are compared as bytes.
     Texts may have up to 2^40 bytes. Extra columns are not carried."""
     if not 8 <= anchor <= least:
         raise ValueError("anchor must be from 8 to least")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    mark = F.shiftleft(F.pmod(F.xxhash64(text), F.lit(1 << 22)), _START_BITS)
-    texts = docs.select(id_in(id_col).alias("id"), mark.alias("mark"), text.alias("text"))
+    head = F.shiftleft(F.pmod(F.xxhash64(F.lit(1), text), F.lit(1 << 22)), _START_BITS)
+    texts = docs.select(id_in(id_col).alias("id"), F.xxhash64(text).alias("mark"), head.alias("head"), text.alias("text"))
     heavy = _heavy_anchors(texts, least, anchor, sample_rows, many)
     pieces = texts.mapInArrow(_pieces(least, anchor, heavy), _PIECE_KINDS)
-    met = spread(pieces, "anchor").sortWithinPartitions("anchor", "content", "id", "place")
-    judged = materialise(met.mapInArrow(_judged, "id long, place long, span int, anchor long, kind int"))
-    packed = texts.mapInArrow(_packed, "id long, mark long, packed binary")
-    head = F.shiftleft(F.shiftright("place", _START_BITS), _START_BITS).alias("mark")
-    wanted = judged.filter("kind = 1").groupBy("id", head).agg(F.collect_set(F.struct("anchor", "place", "span")).alias("wanted"))
-    known = packed.join(wanted, ["id", "mark"]).select("id", "packed", "wanted")
-    compared = known.mapInArrow(_texts(least), "anchor long, id long, place long, piece binary")
-    dealt = spread(compared, "anchor").sortWithinPartitions("anchor", "id", "place")
-    partly = materialise(dealt.mapInPandas(_compared(least, block_bytes), "id long, place long, span int"))
-    runs = judged.filter("kind = 0").select("id", "place", "span").unionAll(partly)
-    by_doc = runs.groupBy("id", head).agg(F.collect_set(F.struct("place", "span")).alias("runs"))
-    joined = packed.join(by_doc, ["id", "mark"], "left").select("id", "packed", "runs")
+    met = spread(pieces, "anchor").sortWithinPartitions("anchor", "content", "id", "mark", "place")
+    judged = materialise(met.mapInArrow(_judged, "id long, mark long, place long, span int, anchor long, kind int"))
+    packed = texts.mapInArrow(_packed, "id long, mark long, head long, packed binary")
+    own_head = F.shiftleft(F.shiftright("place", _START_BITS), _START_BITS).alias("head")
+    document = ["id", "mark", "head"]
+    wanted = judged.filter("kind = 1").groupBy("id", "mark", own_head).agg(F.collect_set(F.struct("anchor", "place", "span")).alias("wanted"))
+    known = packed.join(wanted, document).select("id", "mark", "packed", "wanted")
+    compared = known.mapInArrow(_texts(least), "anchor long, id long, mark long, place long, piece binary")
+    dealt = spread(compared, "anchor").sortWithinPartitions("anchor", "id", "mark", "place")
+    partly = materialise(dealt.mapInPandas(_compared(least, block_bytes), "id long, mark long, place long, span int"))
+    runs = judged.filter("kind = 0").select("id", "mark", "place", "span").unionAll(partly)
+    by_doc = runs.groupBy("id", "mark", own_head).agg(F.collect_set(F.struct("place", "span")).alias("runs"))
+    joined = packed.join(by_doc, document, "left").select("id", "packed", "runs")
     done = joined.mapInArrow(_removed(least), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(id_out("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -65,7 +65,7 @@ def test_odd_documents_match_brute_force(spark, many):
     assert len(got) == len(rows())
     frame = documents(spark).selectExpr(
         "coalesce(doc_id, 9223372036854775807) AS id", "coalesce(text, '') AS text",
-        "pmod(xxhash64(cast(coalesce(text, '') AS binary)), 4194304) AS mark",
+        "xxhash64(cast(coalesce(text, '') AS binary)) AS mark",
     ).distinct().orderBy("id", "mark").collect()
     want = brute([((None if r.id == 2**63 - 1 else r.id, r.text.encode()), r.text.encode()) for r in frame], 40)
     texts = {}
@@ -78,3 +78,16 @@ def test_odd_documents_match_brute_force(spark, many):
 
 def test_no_documents(spark):
     assert suffix_dedup.remove_repeats(no_documents(spark)).count() == 0
+
+
+def test_many_texts_under_null_ids(spark):
+    dice = random.Random(8)
+    shared = ["".join(dice.choice("abcdefgh") for _ in range(60)) for _ in range(40)]
+    texts = ["".join(dice.choice("abcdefghij") for _ in range(dice.randrange(20, 60))) for _ in range(10_000)]
+    texts = [t + dice.choice(shared) if i % 5 == 0 else t for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    order = frame.selectExpr("text", "xxhash64(cast(text AS binary)) AS mark").distinct().orderBy("mark").collect()
+    want = brute([(r.text, r.text.encode()) for r in order], 40)
+    got = suffix_dedup.remove_repeats(frame, least=40, anchor=16).collect()
+    assert sorted((g.n_bytes, g.n_removed, g.n_spans, bytes(g.kept)) for g in got) == sorted(want[t] for t in texts)
+    assert sum(g.n_removed > 0 for g in got) > 1500

@@ -19,14 +19,14 @@ from breezeline.session import materialise
 
 ship(__name__)
 
-MOST = 2**27  # whole components are held within this, so that sums stay exact in 64 bits
-
 
 def whole_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v array<long>): floor(scale * x) of every component. Null vectors, and those with null or non-finite
-    components, are left out; whole components beyond 2^27 are held at that bound."""
+    components, are left out. A whole component beyond 64 bits is an error, since no long can stand for it."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    whole = lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(MOST)), F.lit(-MOST)).cast("long")
+    beyond = F.raise_error(F.lit("a whole component does not fit 64 bits")).cast("long")
+    scaled = lambda x: x.cast("double") * scale
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(beyond)
     good = F.col(vector_col).isNotNull() & F.forall(vector_col, finite)
     return vectors.filter(good).select(id_in(id_col).alias("vec_id"), F.transform(vector_col, whole).alias("v"))
 
@@ -47,7 +47,7 @@ def block_top(queries: np.ndarray, values: np.ndarray, order: np.ndarray, ranked
     read = np.zeros((n, len(queries)))
     unseen = np.ones((n, dims))
     done = 0
-    for part in (0.25, 0.375, 0.45, 0.5):
+    for part in (0.0625, 0.125, 0.25, 0.375, 0.45, 0.5):
         stop = n // 2 if part < 0.5 else -(-n // 2)
         stop = min(stop, max(done, int(n * part))) if part < 0.5 else stop
         for d in range(dims):
@@ -75,6 +75,19 @@ def block_top(queries: np.ndarray, values: np.ndarray, order: np.ndarray, ranked
     return out, depth
 
 
+def exact_scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows and a query: in 64 bits where no sum can leave them, else in Python's integers."""
+    if not values.size:
+        return np.zeros(len(values), np.int64)
+    most = max(int(values.max()), -int(values.min())) * max(int(query.max()), -int(query.min())) * len(query)
+    if most < 2**63:
+        return values @ query
+    scores = values.astype(object) @ query.astype(object)
+    if any(abs(s) >= 2**63 for s in scores):
+        raise OverflowError("a score does not fit 64 bits")
+    return scores.astype(np.int64)
+
+
 def _best_of_blocks(k: int, resolve: int):
     """Each query's k best rows of one block; a frame holds the block's rows and the queries asked of it."""
 
@@ -85,7 +98,7 @@ def _best_of_blocks(k: int, resolve: int):
         if len(rows) and len(queries):
             # vectors of unequal length meet only those of their own length
             for size in {len(v) for v in queries["v"]}:
-                own = rows[rows["v"].map(len) == size].sort_values("vec_id", kind="stable")
+                own = rows[rows["v"].map(len) == size].sort_values(["vec_id", "row"], kind="stable")
                 if not len(own):
                     continue
                 values = np.stack(own["v"].to_list()) if size else np.zeros((len(own), 0), np.int64)
@@ -94,17 +107,18 @@ def _best_of_blocks(k: int, resolve: int):
                 ranked = np.take_along_axis(values.T, order, 1).astype(np.float64)
                 mine = queries[queries["v"].map(len) == size]
                 names, asks = mine["vec_id"].to_numpy(), np.stack(mine["v"].to_list()) if size else np.zeros((len(mine), 0), np.int64)
-                # room for the rows of the query's own id, which take no part
-                extra = int(np.unique(ids, return_counts=True)[1].max())
+                places = mine["row"].to_numpy()
+                # room for the rows of a query's own id, which take no part
+                extra = int(np.unique(ids[np.isin(ids, names)], return_counts=True)[1].max(initial=0))
                 for start in range(0, len(names), 64):
                     some = asks[start : start + 64]
                     near, _ = block_top(some, values, order, ranked, min(len(ids), k + extra), max(resolve, k + extra))
-                    for query_id, q, rows_ in zip(names[start : start + 64].tolist(), some, near):
+                    for query_id, ask, q, rows_ in zip(names[start : start + 64].tolist(), places[start:].tolist(), some, near):
                         rows_ = rows_[ids[rows_] != query_id]
-                        scores = values[rows_] @ q
+                        scores = exact_scores(values[rows_], q)
                         best = np.lexsort((ids[rows_], -scores))[:k]
-                        out.extend((query_id, ids[rows_[b]], int(scores[b])) for b in best)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                        out.extend((ask, query_id, ids[rows_[b]], int(scores[b])) for b in best)
+        return pd.DataFrame(out, columns=["ask", "query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
@@ -122,21 +136,24 @@ def top_k(
     Both frames have (vec_id, v array<long>). Rows and queries are dealt into blocks of about the given sizes; each
     pair of blocks is one group, so a group is bounded whatever the number of rows, and gives back k rows per query
     that are merged by a second, limited ranking. A query's own rows (same vec_id) take no part; fewer other rows than
-    k give fewer results. Repeated rows count as often as they come; vectors of other lengths than the query's take no
-    part; an empty table gives no rows."""
-    rows = materialise(vectors)
-    asks = materialise(queries)
+    k give fewer results. Repeated rows count as often as they come, repeated queries are answered as often; vectors
+    of other lengths than the query's take no part; an empty table gives no rows. Rows are dealt by their place in the
+    table, so a repeated or null id fills no block. Scores are exact; one beyond 64 bits is an error."""
+    # numbered by file and place, which a task that runs again finds unchanged
+    rows = materialise(vectors).withColumn("row", F.monotonically_increasing_id())
+    asks = materialise(queries).withColumn("row", F.monotonically_increasing_id())
     blocks = max(1, -(-rows.count() // block_rows))
     shares = max(1, -(-asks.count() // query_rows))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = rows.select("vec_id", "v", F.lit(False).alias("asks"), deal(blocks, 1).alias("block"), every(shares).alias("share"))
-    asked = asks.select("vec_id", "v", F.lit(True).alias("asks"), deal(shares, 2).alias("share"), every(blocks).alias("block"))
+    told = ["vec_id", "row", "v"]
+    spread = rows.select(*told, F.lit(False).alias("asks"), deal(blocks, 1).alias("block"), every(shares).alias("share"))
+    asked = asks.select(*told, F.lit(True).alias("asks"), deal(shares, 2).alias("share"), every(blocks).alias("block"))
     met = spread.unionByName(asked)
     best = met.groupBy("block", "share").applyInPandas(
-        _best_of_blocks(k, resolve), "query_id long, vec_id long, score long"
+        _best_of_blocks(k, resolve), "ask long, query_id long, vec_id long, score long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(id_out("query_id").alias("query_id"), "rank", id_out("vec_id").alias("vec_id"), "score")
 

@@ -33,7 +33,8 @@ def finite(v):
 
 
 def brute_top(data, asks, k):
-    whole = [(2**63 - 1 if i is None else i, [max(-(2**27), min(2**27, math.floor(256 * float(np.float32(x))))) for x in v]) for i, v, _ in data if finite(v)]
+    """A result per query row: queries that share an id are answered each."""
+    whole = [(2**63 - 1 if i is None else i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in data if finite(v)]
     out = []
     for q, v in whole:
         if asks(q):
@@ -44,11 +45,41 @@ def brute_top(data, asks, k):
 
 @pytest.mark.parametrize("block_rows, query_rows, resolve", [(8192, 2048, 256), (60, 3, 4)])
 def test_top_k(spark, block_rows, query_rows, resolve):
-    data = [r for r in vectors() if r[0] is not None]
+    data = [r for r in vectors() if r[0] != 500]  # 500 does not fit 64 bits
+    data += [(600 + i, [v, *[1.0] * 15], 1) for i, v in enumerate((6e5, 7e5, 8e5))]
+    data += [(None, r[1], 1) for r in data[:50]] * 4 + [(77, data[77][1], 1)] * 200
     whole = topk.whole_vectors(table(spark, data))
-    got = topk.top_k(whole, whole.filter("vec_id % 50 = 0 AND vec_id <> 50"), 5, block_rows, query_rows, resolve)
-    want = brute_top(data, lambda q: q % 50 == 0 and q != 50, 5)
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    got = topk.top_k(whole, whole.filter("vec_id % 50 = 0"), 5, block_rows, query_rows, resolve)
+    want = brute_top(data, lambda q: q % 50 == 0, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((q, n, None if c == 2**63 - 1 else c, s) for q, n, c, s in want), key=str)
+
+
+def test_scores_are_exact_or_an_error(spark):
+    data = [(1, [6e5, 1.0], 1), (2, [7e5, 1.0], 1), (3, [8e5, 1.0], 1)]
+    whole = topk.whole_vectors(table(spark, data))
+    got = topk.top_k(whole, whole.filter("vec_id = 1")).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 3, 153600000 * 204800000 + 65536), (1, 2, 2, 153600000 * 179200000 + 65536)]
+    many = np.array([[2**40, -(2**40)], [3, 5]])
+    assert topk.exact_scores(many, np.array([2**30, 2**30 - 1])).tolist() == [2**40, 3 * 2**30 + 5 * (2**30 - 1)]
+    with pytest.raises(OverflowError):
+        topk.exact_scores(many, np.array([2**30, -(2**30)]))
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.whole_vectors(table(spark, [(1, [3e30], 1)])).collect()
+
+
+def test_a_hot_id_fills_no_block(spark):
+    seen = []
+    rows = table(spark, [(None, [float(i % 7), 1.0], 1) for i in range(3000)] + [(i, [1.0, 2.0], 1) for i in range(20)])
+    whole = topk.whole_vectors(rows)
+    real = topk.materialise
+    topk.materialise = lambda df: seen.append(real(df)) or seen[-1]
+    try:
+        top = topk.top_k(whole, whole.filter("vec_id = 0"), 5, block_rows=300)
+    finally:
+        topk.materialise = real
+    assert top.count() == 5
+    blocks = seen[0].select(F.pmod(F.xxhash64(F.lit(1), F.monotonically_increasing_id()), F.lit(11)).alias("b")).groupBy("b").count()
+    assert blocks.agg({"count": "max"}).first()[0] < 600
 
 
 def test_lists_are_left_early_when_the_best_stand_out():
@@ -76,7 +107,8 @@ def test_few_rows_and_none(spark):
     assert [tuple(r)[:3] for r in topk.top_k(two, two, 5).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]
     none = topk.whole_vectors(table(spark, vectors()[:2]).limit(0))
     assert topk.top_k(none, none).count() == 0
-    assert topk.search_own(table(spark, vectors()), F.col("vec_id") < 0).count() == 0
+    small = [r for r in vectors() if r[0] != 500]
+    assert topk.search_own(table(spark, small), F.col("vec_id") < 0).count() == 0
 
 
 def brute_links(data, least):

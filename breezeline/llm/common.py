@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,19 @@ def ship(module: str) -> None:
 
 ship(__name__)
 
+def sent_by_value(spark: SparkSession, thing: object) -> Callable[[], Any]:
+    """Broadcast an object of bounded size with its class by value (a broadcast alone names the class, which a worker
+    without the library cannot find). The function gives it back in a task; a worker unpacks it once."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    def get() -> Any:
+        if not hasattr(packed, "unpacked"):
+            packed.unpacked = pickle.loads(packed.value)
+        return packed.unpacked
+
+    return get
+
+
 # Stands for a null id while rows travel: it sorts last and is turned back into null in results.
 NULL_ID = 2**63 - 1
 

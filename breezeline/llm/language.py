@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -12,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from breezeline.llm.common import ship
+from breezeline.llm.common import ship, sent_by_value
 from breezeline.session import materialise
 
 ship(__name__)
 
 _CACHED_WORDS = 1 << 16  # words whose values a Python worker keeps at hand
-_WORD = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"[\W\d_]")
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(f"[^\\W_{_NUMBERS}]+")  # letters: no number signs such as fractions and raised digits
+_EDGE = re.compile(f"[\\W_{_NUMBERS}]")
 WORD = 0  # order of whole words in the count table; n-grams have their length
 
 
@@ -181,11 +183,12 @@ def predictor(spark: SparkSession, model: LanguageModel) -> Callable[[Column], C
 
     Null texts and texts without letters are ``und`` with score 0. Whole texts are read; the broadcast model is
     bounded by ``model_entries`` of ``fit``."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent_by_value(spark, model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            found = [shared.value.predict(t) for t in part]
+            model = shared()
+            found = [model.predict(t) for t in part]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeline.llm.common import ship
+from breezeline.llm.common import sent_by_value, ship
 
 ship(__name__)
 
@@ -358,12 +358,12 @@ def encode_and_decode(
 
 def _mapped(narrow: DataFrame, model: bytes, made: dict[str, str], make, least_cut: int) -> DataFrame:
     """Replace the last column by the columns that ``make`` gives for its values."""
-    shared = narrow.sparkSession.sparkContext.broadcast(Pieces(model))
+    shared = sent_by_value(narrow.sparkSession, Pieces(model))
     kinds = {"binary": pa.binary(), "string": pa.string()}
     columns = {name: kinds[kind] for name, kind in made.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = shared.value.encoder()
+        work = shared().encoder()
         for batch in batches:
             yield from _cut(batch, columns, lambda cell: make(work, cell), least_cut)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeline.llm.common import ship
+from breezeline.llm.common import sent_by_value, ship
 from breezeline.session import materialise
 
 ship(__name__)
@@ -220,11 +220,11 @@ def _slope(margins: np.ndarray, signs: np.ndarray, steps: int = 200) -> tuple[fl
 def scorer(spark: SparkSession, model: QualityModel) -> Callable[[Column], Column]:
     """A function of a text column giving its score (0 to 1, higher: label 1 likelier). Whole texts are read; null and
     empty texts are texts without features and get the score of the bias. The broadcast model has a fixed size."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent_by_value(spark, model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([shared.value.score(t) for t in part], dtype="float64")
+            yield pd.Series([shared().score(t) for t in part], dtype="float64")
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(run, "double")

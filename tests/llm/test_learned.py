@@ -114,3 +114,10 @@ def test_language_filter_keeps_clean_documents(spark):
 def test_no_documents(spark):
     assert language.learn_and_predict(no_documents(spark)).count() == 0
     assert language.with_known_language(no_documents(spark)).count() == 0
+
+
+def test_number_signs_are_no_letters(spark):
+    model = language.fit(spark.createDataFrame([(1, "the and of", "en"), (2, "le et la", "fr")], "doc_id long, text string, lang string"))
+    for text in ("½ ² Ⅷ ③", "12 34", "_ __", "٣ ५"):
+        assert language.words_of(text) == [] and model.predict(text) == ("und", 0.0)
+    assert language.words_of("Ünd3x² 一二 x½y") == ["ünd", "x", "一二", "x", "y"]

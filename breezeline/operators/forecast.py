@@ -6,6 +6,7 @@ import itertools
 import json
 import time
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from breezeline.functions.bands import confidence_from_rmse
 from breezeline.functions.numeric import clip
 from breezeline.functions.text import baseline_forecast_id, benchmark_forecast_id, title_case
 from breezeline.operators.blocks import Series
-from breezeline.operators.evaluate import regression_metrics
+from breezeline.operators.evaluate import best_per_city, regression_metrics
 from breezeline.operators.features import RATIOS, chronological_split, feature_frame, tail
 from breezeline.schema import BENCHMARK_SUMMARY
 from breezeline.session import materialise
@@ -67,7 +68,7 @@ def baseline_forecast(
 def forecast_rows(
     predictions: DataFrame,
     issued: Column,
-    model: str,
+    model: str | Column,
     version: str,
     rmse: Column | None = None,
     confidence: Column | None = None,
@@ -77,10 +78,11 @@ def forecast_rows(
     """Predictions to rows of the forecast table."""
     conf = confidence if confidence is not None else confidence_from_rmse(rmse)
     hour = F.col("horizon_hours")
+    model = F.lit(model) if isinstance(model, str) else model
     if baseline_ids:
         key = baseline_forecast_id(F.col(slug), issued, hour)
     else:
-        key = benchmark_forecast_id(F.col(slug), F.lit(model), issued, hour)
+        key = benchmark_forecast_id(F.col(slug), model, issued, hour)
     return predictions.select(
         key.alias("forecast_id"),
         F.col(slug).alias("city_slug"),
@@ -89,7 +91,7 @@ def forecast_rows(
         "horizon_timestamp",
         hour.cast("int").alias("horizon_hours"),
         F.col("predicted").alias("predicted_us_aqi"),
-        F.lit(model).alias("model_type"),
+        model.alias("model_type"),
         F.lit(version).alias("model_version"),
         conf.alias("confidence"),
     )
@@ -167,24 +169,28 @@ def fit_direct(
     horizons: Sequence[int],
     spec: str,
     train: Column | None = None,
+    parallelism: int = 8,
     **params,
 ) -> dict[int, PipelineModel]:
-    """One model per horizon over all series together.
+    """One model per horizon over all series together; ``parallelism`` horizons are fitted side by side, so that the
+    short jobs of one fit fill the gaps of another.
 
     Forecasting h hours ahead needs the target h rows later; training rows whose target
     lies past the split edge (``_to``, which the split has set) are dropped by requiring it
     inside the training part."""
     rows = frame.where("split = 'train'") if train is None else frame.where(train)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    models = {}
-    for h in horizons:
+
+    def fit(h: int) -> PipelineModel:
         label = f"{target}_h{h}"
         safe = rows.where(F.col(label).isNotNull() & (F.col("_pos") + h < F.col("_to")))
         if safe.isEmpty():
             raise TooFewRows(f"no training row {h} rows ahead")
         model = estimator(spec, featuresCol="features", labelCol=label, predictionCol=f"pred_h{h}", **params)
-        models[h] = Pipeline(stages=[assembler, model]).fit(safe)
-    return models
+        return Pipeline(stages=[assembler, model]).fit(safe)
+
+    with ThreadPoolExecutor(max(1, min(parallelism, len(horizons)))) as pool:
+        return dict(zip(horizons, pool.map(fit, horizons)))
 
 
 def predict_direct(models: dict[int, PipelineModel], frame: DataFrame, s: Series, target: str) -> DataFrame:
@@ -226,24 +232,23 @@ def search(
     return sorted(trials, key=lambda t: (t["val_mse"] is None, t["val_mse"]))
 
 
-def benchmark_matrix(
-    df: DataFrame,
+def fit_specs(
+    frame: DataFrame,
     s: Series,
-    cols: Sequence[str],
+    features: Sequence[str],
     target: str,
     horizons: Sequence[int],
     specs: Sequence[str],
     city: str = "city_slug",
     params: dict[str, dict] | None = None,
-) -> DataFrame:
-    """Every spec over every series, in the columns of a benchmark summary.  The loop is
-    over specs: all series train and score together, and share the seconds it took.
+) -> tuple[DataFrame, dict[str, dict[int, PipelineModel]]]:
+    """Summary rows of every spec over every series of a supervised frame, and the models that were fitted.
 
-    A spec without an estimator, or with too few rows, becomes skipped rows with the whole
-    reason; any other failure (lost executors, memory, wrong columns) is one."""
-    frame, features = supervised_frame(df, s, cols, target, horizons)
+    The loop is over specs: all series train and score together, and share the seconds it took. A spec without an
+    estimator, or with too few rows, becomes skipped rows with the whole reason; any other failure (lost executors,
+    memory, wrong columns) is one."""
     test = frame.where("split = 'test'")
-    out = None
+    out, fitted = None, {}
     for spec in specs:
         phase, family = FAMILIES.get(spec, (None, None))
         try:
@@ -254,6 +259,7 @@ def benchmark_matrix(
             start = time.perf_counter()
             rows = materialise(regression_metrics(scored, list(s.keys), "actual", "predicted"))
             inferred = time.perf_counter() - start
+            fitted[spec] = models
             rows = rows.withColumnRenamed(city, "city").withColumns({
                 "status": F.lit("ok"),
                 "train_seconds": F.lit(trained),
@@ -262,7 +268,7 @@ def benchmark_matrix(
             })
         except (NoEstimator, TooFewRows) as problem:
             none = F.lit(None).cast("double")
-            rows = df.select(F.col(city).alias("city")).distinct().withColumns({
+            rows = frame.select(F.col(city).alias("city")).distinct().withColumns({
                 "status": F.lit("skipped"),
                 **dict.fromkeys(("rmse", "mae", "r2", "train_seconds", "inference_seconds"), none),
                 "reason": F.lit(str(problem)),
@@ -274,7 +280,74 @@ def benchmark_matrix(
         })
         rows = rows.select(*[f.name for f in BENCHMARK_SUMMARY])
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out, fitted
+
+
+def benchmark_matrix(
+    df: DataFrame,
+    s: Series,
+    cols: Sequence[str],
+    target: str,
+    horizons: Sequence[int],
+    specs: Sequence[str],
+    city: str = "city_slug",
+    params: dict[str, dict] | None = None,
+) -> DataFrame:
+    """Every spec over every series, in the columns of a benchmark summary; see ``fit_specs``."""
+    frame, features = supervised_frame(df, s, cols, target, horizons)
+    return fit_specs(frame, s, features, target, horizons, specs, city, params)[0]
+
+
+def predict_ahead(
+    frame: DataFrame, s: Series, features: Sequence[str], fitted: dict[str, dict[int, PipelineModel]]
+) -> DataFrame:
+    """Series, last_ts, and ``_paths``: for each spec the predictions of its models from the newest row of the series.
+
+    One row per series is left before any model runs; then all models of all specs score it in the same pass."""
+    newest = frame.groupBy(*s.keys).agg(
+        F.max(s.ts).alias("last_ts"), F.max_by(F.struct(*features), s.ts).alias("_f")
+    ).select(*s.keys, "last_ts", "_f.*")
+    scored = VectorAssembler(inputCols=list(features), outputCol="features").transform(newest).drop(*features)
+    paths = []
+    for i, (spec, models) in enumerate(fitted.items()):
+        names = {h: f"_p{i}_h{h}" for h in sorted(models)}
+        for h, name in names.items():
+            model = models[h].stages[-1]
+            scored = model.copy({model.predictionCol: name}).transform(scored)
+        paths += [F.lit(spec), F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.col(n).alias("predicted")) for h, n in names.items()])]
+    return scored.select(*s.keys, "last_ts", F.create_map(*paths).alias("_paths"))
+
+
+def best_model_forecasts(
+    df: DataFrame,
+    s: Series,
+    cols: Sequence[str],
+    target: str,
+    horizons: Sequence[int],
+    specs: Sequence[str],
+    version: str,
+    city: str = "city_slug",
+    params: dict[str, dict] | None = None,
+    issued: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The benchmark matrix and the forecast rows of each series by the model of least RMSE in it.
+
+    A series in whose rows no spec has a finite RMSE gets no forecast; ``issued`` is the time in the rows (the newest
+    row's where none is given)."""
+    frame, features = supervised_frame(df, s, cols, target, horizons)
+    matrix, fitted = fit_specs(frame, s, features, target, horizons, specs, city, params)
+    matrix = materialise(matrix)
+    if not fitted:
+        none = frame.limit(0).select(*s.keys, F.col(s.ts).alias("last_ts"), F.lit(None).cast("double").alias("rmse"))
+        empty = {"model": "string", "horizon_hours": "int", "predicted": "double"}
+        picked = none.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in empty.items()])
+    else:
+        best = best_per_city(matrix).select(F.col("city").alias(city), "model", "rmse")
+        ahead = predict_ahead(frame, s, features, fitted).join(best, city)
+        picked = ahead.select(*s.keys, "last_ts", "model", "rmse", F.inline(F.element_at("_paths", F.col("model"))))
+    timed = picked.withColumn("horizon_timestamp", hours_after("last_ts", F.col("horizon_hours")))
+    when = F.col("last_ts") if issued is None else issued
+    return matrix, forecast_rows(timed, when, F.col("model"), version, rmse=F.col("rmse"), slug=city)
 
 
 def learning_curve(

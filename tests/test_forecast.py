@@ -155,3 +155,35 @@ def test_snapshot_slug_fallback(spark):
     assert S.snapshot_for_city(rows, "b").count() == 3
     assert S.snapshot_for_city(rows, "new-york_city").count() == 3
     assert docs.first()["model_family"] == "DL Sequence"
+
+
+def test_each_city_is_forecast_by_its_own_best_model(spark):
+    """A rising line is best continued by the linear model, a chaotic map is learned by trees alone."""
+    n, x, chaos = 600, 0.3, []
+    rng = np.random.default_rng(5)
+    for _ in range(n):
+        chaos.append(2000 * x)
+        x = 3.99 * x * (1 - x)
+    line = 5000 + 40.0 * np.arange(n) + rng.normal(0, 0.5, n)
+    ts = START + pd.to_timedelta(np.arange(n), unit="h")
+    pdf = pd.concat([pd.DataFrame({"k": k, "ts": ts, "x": v}) for k, v in (("line", line), ("chaos", chaos))])
+    specs, params = ["nope", "linear", "xgboost"], {"xgboost": {"maxIter": 30, "maxDepth": 7, "stepSize": 0.3}}
+    df = to_spark(spark, pdf)
+    matrix, rows = P.best_model_forecasts(df, TINY, ["x"], "x", (1, 2), specs, "v1", city="k", params=params)
+    best = {r["city"]: r for r in E.best_per_city(matrix).collect()}
+    assert {c: r["model"] for c, r in best.items()} == {"line": "linear", "chaos": "xgboost"}
+    got = {(r["city_slug"], r["horizon_hours"]): r for r in rows.collect()}
+    assert set(got) == {(k, h) for k in ("line", "chaos") for h in (1, 2)}
+    # the same models scored on the newest row by the plain path
+    frame, names = P.supervised_frame(df, TINY, ["x"], "x", (1, 2))
+    last = pdf["ts"].max()
+    for spec, city in (("linear", "line"), ("xgboost", "chaos")):
+        models = P.fit_direct(frame, TINY, names, "x", (1, 2), spec, **params.get(spec, {}))
+        want = P.predict_direct(models, frame.where(F.col("ts") == F.lit(last)), TINY, "x").where(F.col("k") == city)
+        for w in want.collect():
+            r = got[city, w["horizon_hours"]]
+            assert r["predicted_us_aqi"] == pytest.approx(w["predicted"], rel=1e-6)
+            assert r["model_type"] == spec and r["confidence"] == pytest.approx(max(0.05, min(0.99, 1 / (1 + best[city]["rmse"] / 100))))
+            assert r["horizon_timestamp"].timestamp() == (last + pd.Timedelta(hours=r["horizon_hours"])).timestamp()
+    none = P.best_model_forecasts(df, TINY, ["x"], "x", (1,), ["nope"], "v1", city="k")
+    assert none[1].count() == 0 and {r["status"] for r in none[0].collect()} == {"skipped"}

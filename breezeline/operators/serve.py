@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from breezeline.functions import bands
@@ -246,11 +247,29 @@ def field_payload(df: DataFrame, metrics: Sequence[str], fields: Sequence[str],
     )
 
 
-def publish(payload: DataFrame, sender) -> None:
-    """Send the good rows through ``sender(row_dict)``, partition by partition."""
-
-    def send(rows):
-        for row in rows:
-            sender(row.asDict())
+def publish(
+    payload: DataFrame, make_sender: Callable[[], Callable[[list[dict]], None]], batch_rows: int = 100, tries: int = 3
+) -> None:
+    """Send the good rows in batches of ``batch_rows``.
+
+    ``make_sender`` is called once per partition, in the task, so that a connection or session is made where it is
+    used and nothing of it travels from the driver; what it gives back takes a list of rows as dicts. A batch whose
+    sending fails is tried again, ``tries`` times in all; then the task fails, and Spark's retry of the task may send
+    batches a second time, so the receiver has to take rows by their key."""
+
+    def send(rows: Iterator[Row]) -> None:
+        rows = iter(rows)
+        first = next(rows, None)
+        if first is None:
+            return
+        sender, rest = make_sender(), itertools.chain([first], rows)
+        while batch := [row.asDict() for row in itertools.islice(rest, batch_rows)]:
+            for attempt in range(1, tries + 1):
+                try:
+                    sender(batch)
+                    break
+                except Exception:
+                    if attempt == tries:
+                        raise
 
     payload.where("problem is null").drop("problem").foreachPartition(send)

@@ -224,9 +224,9 @@ def s11(spark, d):
     )
     path = scratch_path(spark, "ledger")
     ledger = A.run_rollup(details)
-    T.write_run_rows(f"{path}/runs", ledger, now())
+    T.write_run_rows(spark, f"{path}/runs", ledger, now())
     notes = details.withColumn("details", F.to_json(F.struct("city_slug", "status", "error")))
-    T.write_run_rows(f"{path}/details", notes, now())
+    T.write_run_rows(spark, f"{path}/details", notes, now())
     errors = (
         spark.read.parquet(f"{path}/details")
         .groupBy("run_id")

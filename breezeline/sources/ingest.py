@@ -64,6 +64,7 @@ def write_observations(spark: SparkSession, wh: Warehouse, rows: DataFrame, now:
         ["ingested_at", "run_id"],
         ["observed_date"],
         now,
+        cluster_by=("city_slug", "observed_at"),
     )
 
 
@@ -71,7 +72,7 @@ def record_run(
     spark: SparkSession, wh: Warehouse, details: DataFrame, run: str, pipeline: str, started: Column, now: Column
 ) -> None:
     """Per-series outcome rows, and the roll-up row of the run."""
-    write_run_rows(wh.path("run_details"), details, now)
+    write_run_rows(spark, wh.path("run_details"), details, now)
     runs = run_rollup(details).select(
         "run_id",
         F.lit(pipeline).alias("pipeline_name"),
@@ -84,7 +85,7 @@ def record_run(
         "rows_fetched",
         "rows_upserted",
     )
-    write_run_rows(wh.path("runs"), runs, now)
+    write_run_rows(spark, wh.path("runs"), runs, now)
 
 
 def bootstrap_csv(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from breezeline.functions.text import source_env, source_kind
 from breezeline.schema import BENCHMARK_SUMMARY, FORECAST_REQUIRED, require_columns
+from breezeline.session import staged
 
 
 def read_csv(
@@ -172,39 +173,89 @@ def upsert_table(
     now: Column | None = None,
     first_wins: Sequence[str] = (),
     partition_of_key: bool = True,
+    cluster_by: Sequence[str] = (),
 ) -> None:
     """Merge by ``keys`` into a partitioned parquet table, rewriting only the touched
-    partitions.
+    partitions; ``cluster_by`` orders the rows inside their files.
 
     Old rows are read from the touched partitions only; dynamic overwrite stages the new
     files and swaps whole partitions at commit, so a lost executor or a repeated batch
     leaves the same table.  ``incoming`` is read twice.
 
-    Where the partition columns are not a function of the key (``partition_of_key`` off),
-    the partitions in which the incoming keys already stand are looked up first (a read
-    of the key columns alone), and a key stays where it was first stored."""
+    Where the partition column is not a function of the key (``partition_of_key`` off), a
+    key stays where it was first stored: the table's key index says where that is."""
+    if not partition_of_key:
+        (partition,) = partition_by
+        with staged(incoming) as rows, staged(in_stored_partitions(spark, path, rows, keys, order, partition)) as placed:
+            first_wins = [*dict.fromkeys([*first_wins, partition])]
+            upsert_table(spark, path, placed, keys, order, partition_by, now, first_wins, cluster_by=cluster_by)
+        return
     existing = read_if_there(spark, path)
     if existing is not None:
-        touched = incoming.select(partition_by[0])
-        if not partition_of_key:
-            stored = existing.join(incoming.select(*keys).distinct(), list(keys), "left_semi")
-            touched = touched.unionByName(stored.select(partition_by[0]))
-        existing = only_touched(existing, touched, partition_by[0])
-    if not partition_of_key:
-        first_wins = [*dict.fromkeys([*first_wins, *partition_by])]
+        existing = only_touched(existing, incoming.select(partition_by[0]), partition_by[0])
     merged = merge_keyed(existing, incoming, keys, order, now, first_wins)
-    overwrite_partitions(merged, path, partition_by)
+    overwrite_partitions(merged, path, partition_by, cluster_by)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace exactly the partitions that the rows belong to."""
-    (
-        df.hint("rebalance", *[F.col(c) for c in partition_by])  # few files, hot partitions split
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+def in_stored_partitions(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str], partition: str,
+    parts: int = 64,
+) -> DataFrame:
+    """The rows with each key's partition value set to the one the key was first stored in.
+
+    The index lies in the table's folder, where readers of the table do not see it: 128 bits
+    of hash and the partition per key, hashed into ``parts`` partitions, of which only those
+    of the incoming keys are opened, and only those that gain a key are rewritten. It is
+    written before the table; a load that fails in between leaves keys without a row, and
+    finds them where the index says when it runs again. A table without an index gets one
+    from its key columns."""
+    index = f"{path.rstrip('/')}/_keys"
+    h1, h2 = F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)
+    places = ["h1", "h2", partition, "part"]
+
+    def entries(df: DataFrame) -> DataFrame:
+        by = F.struct(*[c for c in order if c in df.columns], partition)
+        first = df.groupBy(h1.alias("h1"), h2.alias("h2")).agg(F.min_by(partition, by).alias(partition))
+        return first.withColumn("part", F.pmod("h1", F.lit(parts)).cast("int")).select(*places)
+
+    known = read_if_there(spark, index)
+    if known is None and (table := read_if_there(spark, path)) is not None:
+        overwrite_partitions(entries(table), index, ["part"])
+        known = read_if_there(spark, index)
+    with staged(entries(rows)) as incoming:
+        new = incoming
+        if known is not None:
+            known = only_touched(known, incoming, "part")
+            new = incoming.join(known, ["h1", "h2"], "left_anti").select(*places)
+        with staged(new) as new:
+            grown = new if known is None else only_touched(known, new, "part").select(*places).unionByName(new)
+            overwrite_partitions(grown, index, ["part"])
+        stored = only_touched(spark.read.parquet(index), incoming, "part")
+    stored = stored.select("h1", "h2", F.col(partition).alias("_stored"))
+    return rows.withColumns({"h1": h1, "h2": h2}).join(stored, ["h1", "h2"]).withColumn(partition, F.col("_stored")).drop("h1", "h2", "_stored")
+
+
+#: Bytes of a row group in clustered tables: small enough that a range of keys skips most.
+ROW_GROUP = 16 << 20
+
+
+def overwrite_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str], cluster_by: Sequence[str] = (), row_group: int = ROW_GROUP
+) -> None:
+    """Replace exactly the partitions that the rows belong to.
+
+    With ``cluster_by`` every file is in that order, so that its row groups and pages hold
+    narrow ranges and a filter on a leading column skips the others."""
+    dealt = df.hint("rebalance", *[F.col(c) for c in partition_by])  # few files, hot partitions split
+    if cluster_by:
+        dealt = dealt.sortWithinPartitions(*partition_by, *cluster_by)
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    (writer.option("parquet.block.size", row_group) if cluster_by else writer).parquet(path)
+
+
+def hash_part(keys: Sequence[str], parts: int) -> Column:
+    """The partition of a state table that a key falls into."""
+    return F.pmod(F.hash(*keys), F.lit(parts))
 
 
 def write_dimension(
@@ -214,15 +265,27 @@ def write_dimension(
     """Keyed upsert of a state table (cities, watermarks, latest rows), hashed into
     ``parts`` partitions: a batch rewrites those its keys fall into.  Size ``parts`` to
     the table (some ten thousand keys each) and keep it for the table's life."""
-    bucketed = incoming.withColumn("part", F.pmod(F.hash(*keys), F.lit(parts)))
+    bucketed = incoming.withColumn("part", hash_part(keys, parts))
     upsert_table(spark, path, bucketed, keys, order, ["part"], now)
 
 
-def write_run_rows(path: str, rows: DataFrame, now: Column) -> None:
-    """Rows of runs, a directory per run_id: a run writes its own directory only, whatever
-    the history, and a repeated run replaces its rows."""
-    stamped = rows.withColumn("created_at", now).withColumn("updated_at", now)
-    overwrite_partitions(stamped, path, ["run_id"])
+def write_run_rows(spark: SparkSession, path: str, rows: DataFrame, now: Column, run: str = "run_id") -> None:
+    """Rows of runs, partitioned by the day of ``now``, so directories follow days, not runs.
+
+    A run that is repeated replaces its rows, all of them, and stays in the day it was first
+    written in; rows of other runs stay. What is read: the run column of the table, and the
+    days that change."""
+    stamped = rows.withColumns({"created_at": now, "updated_at": now, "run_date": now.cast("date")})
+    table = read_if_there(spark, path)
+    if table is None:
+        overwrite_partitions(stamped, path, ["run_date"])
+        return
+    with staged(stamped) as new:
+        runs = new.select(run).distinct()
+        before = table.select(run, "run_date").join(runs, run, "left_semi").groupBy(run).agg(F.min("run_date").alias("_day"))
+        placed = new.join(before, run, "left").withColumn("run_date", F.coalesce("_day", "run_date")).drop("_day")
+        kept = only_touched(table, placed, "run_date").join(runs, run, "left_anti")
+        overwrite_partitions(kept.unionByName(placed, True), path, ["run_date"])
 
 
 def write_watermarks(spark: SparkSession, path: str, marks: DataFrame, now: Column | None = None) -> None:
@@ -273,6 +336,7 @@ def upsert_forecasts(spark: SparkSession, path: str, df: DataFrame, now: Column
         now,
         first_wins=("city_slug", "city_name", "forecast_timestamp", "horizon_timestamp", "horizon_hours"),
         partition_of_key=False,  # a corrected issue time does not move a forecast
+        cluster_by=("city_slug", "horizon_timestamp"),
     )
     return bad
 

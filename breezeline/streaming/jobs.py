@@ -12,18 +12,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from breezeline.operators.aggregate import bucket_aggregate
 from breezeline.operators.evaluate import mape
+from breezeline.operators.moments import finished, hour_moments, merge_moments
 from breezeline.operators.rank import first_per_key
 from breezeline.schema import METRICS
 from breezeline.session import staged
 from breezeline.sources.ingest import Warehouse, as_observations, record_run, write_observations
 from breezeline.sources.payload import decode_payloads
 from breezeline.sources.tables import (
+    hash_part,
     new_watermarks,
     only_touched,
     read_if_there,
     upsert_table,
     within_days,
     write_dimension,
+    write_run_rows,
     write_watermarks,
 )
 
@@ -61,52 +64,76 @@ ROLLUPS = (("hourly", "hour"), ("daily", "day"), ("monthly", "month"))
 def refresh_touched(
     spark: SparkSession, wh: Warehouse, touched: DataFrame, metrics: Sequence[str] = METRICS
 ) -> None:
-    """Recompute the hours, days and months a batch touched from the fact table, overwrite
-    just those, and bring the latest row per city up to date; late and corrected rows
-    therefore always end up right."""
+    """Recompute the hours a batch touched from the facts, combine their days and months from
+    stored moments, overwrite just these rows, and bring the latest row per city up to date;
+    late and corrected rows therefore always end up right.
+
+    Of the facts only the touched dates are read. Every write to them has to be followed by
+    this; where there are facts but no moments yet, all of them are rolled up once."""
     facts = wh.read(spark, "observations")
     if facts is None:
         return
-    for name, unit in ROLLUPS:
-        bucket = F.date_trunc(unit, "observed_at")
-        buckets = touched.select("city_slug", bucket.alias("bucket")).distinct()
-        # a day's or month's facts stand in all its dates
-        spans = touched.select(F.date_trunc(unit, "observed_at").cast("date").alias("first")).distinct()
-        last = {"hour": F.col("first"), "day": F.col("first"), "month": F.last_day("first")}[unit]
-        days = spans.select(F.explode(F.sequence("first", last)).alias("observed_date"))
-        rows = (
-            only_touched(facts, days, "observed_date")
-            .withColumn("bucket", bucket)
-            .join(buckets, ["city_slug", "bucket"], "left_semi")
-        )
-        fresh = bucket_aggregate(rows, unit, ["city_slug"], "observed_at", metrics)
-        fresh = fresh.withColumn("bucket_date", F.to_date(unit))
-        upsert_table(spark, wh.path(name), fresh, ["city_slug", unit], ["updated_at"], ["bucket_date"])
+    hour = F.date_trunc("hour", "observed_at")
+    hours = touched.select("city_slug", hour.alias("hour")).distinct()
     dates = touched.select(F.to_date("observed_at").alias("observed_date")).distinct()
+    if wh.read(spark, "hourly_moments") is None:
+        hours = facts.select("city_slug", hour.alias("hour")).distinct()
+        dates = facts.select("observed_date").distinct()
+    with staged(hours) as hours:
+        rows = only_touched(facts, dates, "observed_date").withColumn("hour", hour)
+        fresh = hour_moments(rows.join(hours, ["city_slug", "hour"], "left_semi"), ["city_slug"], "observed_at", metrics)
+        _store_rollup(spark, wh, "hourly", "hour", fresh, metrics)
+        for name, unit, source, inner in (("daily", "day", "hourly", "hour"), ("monthly", "month", "daily", "day")):
+            # the whole units touched, and the stored dates they stand in
+            bucket = F.date_trunc(unit, "hour").cast("date")
+            units = hours.select("city_slug", bucket.alias(unit)).distinct()
+            last = F.last_day(unit) if unit == "month" else F.col(unit)
+            days = units.select(F.explode(F.sequence(F.col(unit), last)).alias("bucket_date")).distinct()
+            parts = only_touched(wh.read(spark, f"{source}_moments"), days, "bucket_date")
+            whole = F.date_trunc(unit, inner).cast("date")
+            parts = parts.withColumn(unit, whole).join(units, ["city_slug", unit], "left_semi")
+            _store_rollup(spark, wh, name, unit, merge_moments(parts, ["city_slug"], F.col(unit), unit, metrics), metrics)
     cities = touched.select("city_slug").distinct()
+    dates = touched.select(F.to_date("observed_at").alias("observed_date")).distinct()
     now_there = only_touched(facts, dates, "observed_date").join(cities, "city_slug", "left_semi")
     newest = first_per_key(now_there, ["city_slug"], [F.col("observed_at").desc(), F.col("source")])
     cols = ["city_slug", "observed_at", "source", *metrics]
     keep_latest(spark, wh.path("latest"), newest.select(*cols), ["city_slug"], ["observed_at"])
 
 
+def _store_rollup(
+    spark: SparkSession, wh: Warehouse, name: str, unit: str, moments: DataFrame, metrics: Sequence[str]
+) -> None:
+    """Moments of a unit and the aggregates read off them, each upserted into the dates they belong to."""
+    dated = moments.withColumn("bucket_date", F.to_date(unit))
+    with staged(dated) as rows:
+        for table, fresh in ((f"{name}_moments", rows), (name, finished(rows, ["city_slug"], unit, metrics))):
+            fresh = fresh.withColumn("bucket_date", F.to_date(unit))
+            upsert_table(
+                spark, wh.path(table), fresh, ["city_slug", unit], ["updated_at"], ["bucket_date"], cluster_by=("city_slug", unit)
+            )
+
+
 def keep_latest(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = 16
 ) -> None:
     """One row per key, the one of the largest ``order`` (a row of equal order replaces
     the stored one where it differs).  Rows that change nothing do not reach the write, so
     only partitions with a new row are rewritten."""
-    stored = read_if_there(spark, path)
-    if stored is not None:
-        old = stored.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias("_old"))
-        mine = F.struct(*[c for c in rows.columns if c not in keys])
-        place = F.struct(*[F.col(c) for c in order])
-        before = F.struct(*[F.col(f"_old.{c}") for c in order])
-        joined = rows.join(old, list(keys), "left")
-        news = F.col("_old").isNull() | (place > before) | ((place == before) & ~mine.eqNullSafe(F.col("_old")))
-        rows = joined.where(news).drop("_old")
-    with staged(rows) as changed:
-        write_dimension(spark, path, changed, keys, list(order), parts=parts)
+    with staged(rows) as rows:
+        stored = read_if_there(spark, path)
+        if stored is not None:
+            # the table is hashed by key: only the parts that these keys fall into are opened
+            stored = only_touched(stored, rows.select(hash_part(keys, parts).alias("part")), "part")
+            old = stored.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias("_old"))
+            mine = F.struct(*[c for c in rows.columns if c not in keys])
+            place = F.struct(*[F.col(c) for c in order])
+            before = F.struct(*[F.col(f"_old.{c}") for c in order])
+            joined = rows.join(old, list(keys), "left")
+            news = F.col("_old").isNull() | (place > before) | ((place == before) & ~mine.eqNullSafe(F.col("_old")))
+            rows = joined.where(news).drop("_old")
+        with staged(rows) as changed:
+            write_dimension(spark, path, changed, keys, list(order), parts=parts)
 
 
 def ingest_batches(
@@ -125,13 +152,7 @@ def ingest_batches(
 
     def load(rows: DataFrame, bad: DataFrame, run: str) -> None:
         write_observations(spark, wh, rows, now)
-        rejected = bad.withColumn("run_id", F.lit(run))
-        (
-            rejected.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .parquet(wh.path("quarantine"))
-        )
+        write_run_rows(spark, wh.path("quarantine"), bad.withColumn("run_id", F.lit(run)), now)
         write_watermarks(spark, wh.path("watermarks"), new_watermarks(rows, "city_slug", "observed_at", source), now)
         ok = rows.groupBy("city_slug").agg(F.count(F.lit(1)).alias("rows_fetched"))
         failed = bad.groupBy(F.lower(F.replace("city", F.lit(" "), F.lit("_"))).alias("city_slug")).agg(
@@ -248,12 +269,6 @@ def drift_batches(
         scored = batch.select(*keys).distinct().join(mape(joined, keys, actual, predicted), list(keys), "left")
         decision = F.when(F.col("mape").isNull(), "skip").when(F.col("mape") > limit, "retrain").otherwise("keep")
         scored = scored.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("decision", decision)
-        (
-            scored.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
+        write_run_rows(spark, path, scored.withColumn("batch_id", F.lit(batch_id)), F.current_timestamp(), "batch_id")
 
     return handle

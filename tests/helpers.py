@@ -1,7 +1,11 @@
 """Small frames for comparing with pandas."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from breezeline.operators.blocks import Series
 
@@ -45,3 +49,22 @@ def same(got: pd.DataFrame, want: pd.DataFrame, cols, atol=1e-9):
         np.testing.assert_allclose(
             got[c].astype(float).to_numpy(), want[c].astype(float).to_numpy(), atol=atol, rtol=1e-9, err_msg=c
         )
+
+
+@contextmanager
+def poisoned(files, **values):
+    """Files whose columns hold these values for a while: a job that reads one of them gives wrong results."""
+    held = {p: p.read_bytes() for p in files}
+    for p in held:
+        table = pq.ParquetFile(p).read()
+        for c, v in values.items():
+            at = table.schema.get_field_index(c)
+            table = table.set_column(at, c, pa.array([v] * len(table), table.schema.field(c).type))
+        pq.write_table(table, p)
+        crc = p.with_name(f".{p.name}.crc")
+        if crc.exists():
+            crc.unlink()
+    yield held
+    for p, data in held.items():
+        assert p.exists()
+        p.write_bytes(data)

@@ -1,17 +1,20 @@
 import json
+import uuid
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from breezeline.functions.text import archive_path, run_id
+from breezeline.operators import serve as S
 from breezeline.operators.aggregate import required_metric_report, series_audit
 from breezeline.schema import METRICS, RAW_OBSERVATIONS
 from breezeline.sources import clean as C
 from breezeline.sources import payload as P
 from breezeline.sources import tables as T
 from breezeline.sources.ingest import Warehouse, bootstrap_csv
-from tests.helpers import TINY
+from tests.helpers import TINY, poisoned
 
 
 def at(text):
@@ -245,3 +248,89 @@ def test_days_outside_of_the_bounds_are_not_opened(spark, tmp_path):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "d#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(ts" in plan
     assert cut.count() == 21 and len(cut.inputFiles()) <= len(spark.read.parquet(path).inputFiles())
+
+
+def test_a_load_opens_the_index_parts_and_days_of_its_keys(spark, tmp_path):
+    path = tmp_path / "forecasts"
+    cols = "forecast_id string, city_slug string, city_name string, forecast_timestamp timestamp, horizon_timestamp timestamp, horizon_hours int, predicted_us_aqi double, model_type string, model_version string, confidence double"
+    rows = [(f"f{d}-{i}", "delhi", "Delhi", at(f"2026-01-{d:02d} 23:30"), at("2026-02-02 05:00"), i, 1.0, "m", "1", 0.5) for d in range(1, 11) for i in range(40)]
+    T.upsert_forecasts(spark, str(path), spark.createDataFrame(rows, cols), stamp("2026-01-03 00:00:00"))
+    assert {p.parent.name for p in (path / "_keys").rglob("*.parquet")} > {"part=0"}
+    # f3-7 comes back with an issue time a day later, and f4-900 is new
+    again = [("f3-7", "delhi", "Delhi", at("2026-01-04 00:30"), at("2026-02-02 05:00"), 7, 2.0, "m", "1", 0.5)]
+    again += [("f4-900", "delhi", "Delhi", at("2026-01-04 00:30"), at("2026-02-02 05:00"), 9, 3.0, "m", "1", 0.5)]
+    load = spark.createDataFrame(again, cols)
+    parts = {f"part={r[0]}" for r in load.select(F.pmod(F.xxhash64("forecast_id"), F.lit(64))).collect()}
+    mine = parts | {"issue_date=2026-01-03", "issue_date=2026-01-04"}
+    others = [p for p in path.rglob("*.parquet") if p.parent.name not in mine]
+    index = [p for p in others if p.parent.parent.name == "_keys"]
+    key = load.where("forecast_id = 'f3-7'").select(F.xxhash64("forecast_id"), F.xxhash64(F.lit(1), "forecast_id")).first()
+    assert len(others) > 50 and len(index) > 40
+    with poisoned(index, h1=key[0], h2=key[1]), poisoned([p for p in others if p not in index], forecast_id="f3-7"):
+        T.upsert_forecasts(spark, str(path), load, stamp("2026-01-05 00:00:00"))
+    got = {r["forecast_id"]: r for r in spark.read.parquet(str(path)).collect()}
+    assert len(got) == 401 and got["f3-7"]["predicted_us_aqi"] == 2.0 and got["f3-7"]["forecast_timestamp"] == at("2026-01-03 23:30")
+    assert str(got["f3-7"]["issue_date"]) == "2026-01-03" and str(got["f4-900"]["issue_date"]) == "2026-01-04"
+    # a table that came without an index gets one from its keys
+    bare = str(tmp_path / "bare")
+    spark.read.parquet(str(path)).write.partitionBy("issue_date").parquet(bare)
+    T.upsert_forecasts(spark, bare, load.withColumn("forecast_timestamp", F.lit("2026-01-09 00:00:00").cast("timestamp")), stamp("2026-01-06 00:00:00"))
+    assert spark.read.parquet(bare).count() == 401
+    assert spark.read.parquet(bare + "/_keys").count() == 401
+
+
+def test_row_groups_outside_of_a_city_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = spark.range(60_000).selectExpr(
+        "concat('city_', lpad(cast(xxhash64(id) % 50 + 50 AS string), 3, '0')) AS city_slug",
+        "timestamp_seconds(86400 * (id % 3) + id % 86400) AS observed_at", "date_add(DATE'1970-01-01', cast(id % 3 AS int)) AS observed_date", "rand(1) AS v",
+    )
+    T.overwrite_partitions(rows, path, ["observed_date"], ["city_slug", "observed_at"], row_group=16 << 10)
+    wanted = "city_042"
+    groups = met = 0
+    for p in (tmp_path / "facts" / "observed_date=1970-01-02").glob("*.parquet"):
+        meta = pq.ParquetFile(p).metadata
+        at_city = [meta.schema.column(i).name for i in range(meta.num_columns)].index("city_slug")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(at_city).statistics
+            groups += 1
+            met += stats.min <= wanted <= stats.max
+        own = pq.read_table(p).to_pandas()
+        assert own.sort_values(["city_slug", "observed_at"], kind="stable").index.equals(own.index)
+    assert groups >= 10 and met <= 3
+    cut = spark.read.parquet(path).where((F.col("city_slug") == wanted) & (F.col("observed_date") == F.lit("1970-01-02").cast("date")))
+    assert "EqualTo(city_slug,city_042)" in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.count() == rows.where((F.col("city_slug") == wanted) & (F.col("observed_date") == F.lit("1970-01-02").cast("date"))).count()
+
+
+def test_publishing_makes_a_sender_per_partition_and_sends_batches(spark, tmp_path):
+    payload = spark.range(25).selectExpr("id", "CASE WHEN id = 3 THEN 'missing' END AS problem").repartition(2)
+    folder = str(tmp_path)
+
+    def make_sender():
+        name = f"{folder}/{uuid.uuid4().hex}"
+        failures = [1]
+
+        def send(batch):
+            if failures.pop() if failures else 0:
+                raise OSError("try again")
+            with open(name, "a") as f:
+                f.write(" ".join(str(row["id"]) for row in batch) + "\n")
+
+        return send
+
+    S.publish(payload, make_sender, batch_rows=5)
+    files = [p.read_text().splitlines() for p in tmp_path.iterdir() if p.suffix != ".crc"]
+    sent = sorted(int(x) for lines in files for line in lines for x in line.split())
+    assert sent == [i for i in range(25) if i != 3] and len(files) == 2
+    assert max(len(line.split()) for lines in files for line in lines) == 5
+
+    def broken():
+        def send(batch):
+            raise OSError("the receiver is gone")
+
+        return send
+
+    with pytest.raises(Exception, match="the receiver is gone"):
+        S.publish(payload, broken)
+    S.publish(payload.limit(0), broken)  # no rows, no sender

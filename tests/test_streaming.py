@@ -1,12 +1,15 @@
 import json
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from breezeline.operators.aggregate import bucket_aggregate
 from breezeline.schema import METRICS
-from breezeline.sources.ingest import Warehouse
+from breezeline.sources.ingest import Warehouse, write_observations
+from breezeline.sources.tables import hash_part
 from breezeline.streaming import jobs as J
+from tests.helpers import poisoned
 
 NOW = "2026-02-01 00:00:00"
 
@@ -155,15 +158,89 @@ def test_only_partitions_with_news_are_rewritten(spark, tmp_path):
     assert spark.read.parquet(str(path)).where("ts = timestamp_seconds(2000)").count() == 1
 
 
-def test_a_run_writes_its_own_ledger_directory(spark, tmp_path):
+def test_ledger_directories_follow_days_and_a_run_replaces_its_own_rows(spark, tmp_path):
     docs = spark.createDataFrame(
-        [("Delhi", json.dumps({"hourly": {"time": ["2026-01-01T00:00"], "us_aqi": [4.0]}}))], "city string, body string"
+        [("Delhi", json.dumps({"hourly": {"time": ["2026-01-01T00:00"], "us_aqi": [4.0]}})), ("Pune", "{")],
+        "city string, body string",
     )
     wh = Warehouse(str(tmp_path / "wh"))
-    handle = J.ingest_batches(spark, wh, cities(spark), "feed", now())
-    handle(docs, 0)
-    before = {t: stamps(tmp_path / "wh" / t) for t in ("runs", "run_details")}
-    handle(docs, 1)
-    for t, old in before.items():
-        assert set(old) < set(stamps(tmp_path / "wh" / t))
-        assert written(tmp_path / "wh" / t) == {"run_id=stream-00000000", "run_id=stream-00000001"}
+    tables = ("runs", "run_details", "quarantine")
+    for batch in range(4):
+        J.ingest_batches(spark, wh, cities(spark), "feed", now())(docs, batch)
+    for t in tables:
+        assert written(tmp_path / "wh" / t) == {"run_date=2026-02-01"}
+        assert {r["run_id"] for r in wh.read(spark, t).collect()} == {f"stream-{i:08d}" for i in range(4)}
+    rows = {t: wh.read(spark, t).count() for t in tables}
+    # a day later one run comes again, and a new one: the old run stays in its day
+    later = F.lit("2026-02-02 00:00:00").cast("timestamp")
+    for batch in (2, 4):
+        J.ingest_batches(spark, wh, cities(spark), "feed", later)(docs, batch)
+    for t in tables:
+        assert written(tmp_path / "wh" / t) == {"run_date=2026-02-01", "run_date=2026-02-02"}
+        per_run = {r["run_id"]: (str(r["run_date"]), r["count"]) for r in wh.read(spark, t).groupBy("run_id", "run_date").count().collect()}
+        each = rows[t] // 4
+        assert per_run == {f"stream-{i:08d}": ("2026-02-02" if i == 4 else "2026-02-01", each) for i in range(5)}
+
+
+def readings(spark, seed, n, first_day=1, days=60):
+    """Rows of the fact table at minutes of January and February, near a high level."""
+    dice = F.abs(F.xxhash64(F.lit(seed), "id"))
+    ts = F.timestamp_seconds(1_767_225_600 + (first_day - 1) * 86400 + dice % (days * 86400))
+    metrics = {m: F.when(dice % (7 + i) != 0, 1e6 + (dice % (997 + i)).cast("double") / 8) for i, m in enumerate(METRICS)}
+    return spark.range(n).select(
+        F.when(dice % 3 == 0, "delhi").otherwise("pune").alias("city_slug"), F.lit("x").alias("city_name"),
+        F.date_trunc("minute", ts).alias("observed_at"), *[v.alias(m) for m, v in metrics.items()],
+        F.lit("feed").alias("source"), now().alias("ingested_at"), F.lit(f"r{seed}").alias("run_id"),
+    ).dropDuplicates(["city_slug", "observed_at"])
+
+
+def same_rollups(spark, wh):
+    facts = wh.read(spark, "observations")
+    for name, unit in J.ROLLUPS:
+        want = bucket_aggregate(facts, unit, ["city_slug"], "observed_at", METRICS)
+        got = wh.read(spark, name).select(*want.columns)
+        key = ["city_slug", unit]
+        a, b = (d.toPandas().sort_values(key).reset_index(drop=True) for d in (got, want))
+        assert a[key].astype(str).equals(b[key].astype(str))
+        for c in want.columns[2:]:
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=f"{name} {c}")
+
+
+def test_rollups_are_combined_from_moments_of_touched_hours(spark, tmp_path):
+    wh = Warehouse(str(tmp_path / "wh"))
+    rows = readings(spark, 1, 4000)
+    write_observations(spark, wh, rows, now())
+    J.refresh_touched(spark, wh, rows)
+    same_rollups(spark, wh)
+    # late and corrected rows of two days; every other day of the facts holds nonsense meanwhile
+    late = readings(spark, 2, 40, first_day=9, days=2)
+    write_observations(spark, wh, late, now())
+    touched = {f"observed_date={r[0]}" for r in late.select(F.to_date("observed_at")).distinct().collect()}
+    others = [p for p in (tmp_path / "wh" / "observations").rglob("*.parquet") if p.parent.name not in touched]
+    assert len(touched) <= 3 and len(others) > 50
+    with poisoned(others, **dict.fromkeys(METRICS, 9e99)):
+        J.refresh_touched(spark, wh, late)
+    same_rollups(spark, wh)
+
+
+def test_facts_without_moments_are_rolled_up_once(spark, tmp_path):
+    wh = Warehouse(str(tmp_path / "wh"))
+    write_observations(spark, wh, readings(spark, 3, 300), now())
+    some = readings(spark, 4, 20)
+    write_observations(spark, wh, some, now())
+    J.refresh_touched(spark, wh, some)
+    same_rollups(spark, wh)
+
+
+def test_the_latest_table_is_opened_where_keys_fall(spark, tmp_path):
+    path = tmp_path / "latest"
+    handle = J.latest_per_key_batches(spark, str(path), ["u"], "ts", ["e"], parts=32)
+    handle(spark.range(500).selectExpr("id AS u", "timestamp_seconds(1000) AS ts", "1 AS e"), 0)
+    news = spark.range(7, 9).selectExpr("id AS u", "timestamp_seconds(2000) AS ts", "1 AS e")
+    mine = {f"part={r[0]}" for r in news.select(hash_part(["u"], 32)).collect()}
+    others = [p for p in path.rglob("*.parquet") if p.parent.name not in mine]
+    assert len(others) >= 30
+    with poisoned(others, u=7, ts=datetime(2099, 1, 1)):
+        handle(news, 1)
+    got = spark.read.parquet(str(path))
+    assert got.count() == 500 and got.where("ts = timestamp_seconds(2000)").count() == 2

@@ -19,6 +19,7 @@ from breezeline.sources import payload as P
 from breezeline.sources import tables as T
 from breezeline.sources.ingest import Warehouse, bootstrap_csv, incremental_cycle, incremental_rows
 from breezeline.streaming import jobs as J
+from breezeline.streaming import matching as M
 
 
 
@@ -598,14 +599,14 @@ def t10(spark, d):
     return spark.read.parquet(path).select("city_slug", "horizon_hours", "horizon_timestamp", "predicted_us_aqi")
 
 
-@query(
-    "t11_streamed_drift",
-    cte("forecasts", extra=[
-        "a AS (SELECT city_slug, date_trunc('hour', observed_at) AS h, us_aqi AS actual FROM obs)",
-        "p AS (SELECT f.city_slug, f.predicted_us_aqi AS p, a.actual FROM forecasts f JOIN a ON a.city_slug = f.city_slug AND a.h = f.horizon_timestamp)",
-        "s AS (SELECT city_slug, coalesce(100 * avg(abs(p - actual) / actual) FILTER (actual <> 0), 0) AS mape, count(*) AS n FROM p GROUP BY 1)"])
-    + f"SELECT city_slug, {r6('mape')}, n, CASE WHEN mape > 15 THEN 'retrain' ELSE 'keep' END AS decision FROM s",
-)
+DRIFT_SQL = cte("forecasts", extra=[
+    "a AS (SELECT city_slug, date_trunc('hour', observed_at) AS h, us_aqi AS actual FROM obs)",
+    "p AS (SELECT f.city_slug, f.predicted_us_aqi AS p, a.actual FROM forecasts f JOIN a ON a.city_slug = f.city_slug AND a.h = f.horizon_timestamp)",
+    "s AS (SELECT city_slug, coalesce(100 * avg(abs(p - actual) / actual) FILTER (actual <> 0), 0) AS mape, count(*) AS n FROM p GROUP BY 1)",
+]) + f"SELECT city_slug, {r6('mape')}, n, CASE WHEN mape > 15 THEN 'retrain' ELSE 'keep' END AS decision FROM s"
+
+
+@query("t11_streamed_drift", DRIFT_SQL)
 def t11(spark, d):
     root = scratch_path(spark, "drift")
     cities = I.cities(spark, d).select("city_key", "city_slug")
@@ -619,4 +620,50 @@ def t11(spark, d):
     return spark.read.parquet(f"{root}/out").select("city_slug", "mape", "n", "decision")
 
 
+def _pieces(df, ts, parts=3):
+    """The rows in ``parts`` pieces of rising time."""
+    low, high = df.agg(F.unix_timestamp(F.min(ts)), F.unix_timestamp(F.max(ts))).first()
+    width = (high - low) // parts + 1
+    return [df.where(F.floor((F.unix_timestamp(ts) - low) / width) == i) for i in range(parts)]
+
+
+@query("t11_matched_streams", DRIFT_SQL)
+def t11m(spark, d):
+    """Forecasts and readings as two streams, each piece by piece, matched in state."""
+    root = scratch_path(spark, "matched")
+    f = I.forecasts(spark, d).select("city_slug", "horizon_timestamp", "forecast_timestamp", "predicted_us_aqi")
+    a = I.observations(spark, d).select(
+        "city_slug", F.date_trunc("hour", "observed_at").alias("horizon_timestamp"), F.col("us_aqi").alias("actual")
+    )
+    for some_f, some_a in zip(_pieces(f, "forecast_timestamp"), _pieces(a, "horizon_timestamp")):
+        some_f.write.mode("append").parquet(f"{root}/forecasts")
+        some_a.write.mode("append").parquet(f"{root}/actuals")
+        issued = J.file_stream(spark, f"{root}/forecasts", f.schema, "parquet")
+        read = J.file_stream(spark, f"{root}/actuals", a.schema, "parquet")
+        pairs = M.matched_forecasts(
+            issued, read, ["city_slug"], "horizon_timestamp", "forecast_timestamp", "actual", "predicted_us_aqi", 24
+        )
+        M.run_matched_drift(pairs, f"{root}/state", f"{root}/out", ["city_slug"], "actual", "predicted_us_aqi")
+    return M.drift_so_far(spark, f"{root}/out", ["city_slug"])
+
+
+@query(
+    "t12_outage_sessions",
+    cte("hourly", extra=["g AS (SELECT city_slug, ts, lead(ts) OVER (PARTITION BY city_slug ORDER BY ts) AS n FROM hourly)"])
+    + """SELECT city_slug, ts + INTERVAL 1 HOUR AS gap_start, n - INTERVAL 1 HOUR AS gap_end, date_diff('hour', ts, n) - 1 AS gap_rows
+ FROM g WHERE n > ts + INTERVAL 1 HOUR""",
+)
+def t12(spark, d):
+    """Silences between unbroken runs of hourly readings, from session state; a later reading of a clock closes all."""
+    root = scratch_path(spark, "outages")
+    hours = I.observations(spark, d).select("city_slug", F.date_trunc("hour", "observed_at").alias("hour"))
+    clock = hours.agg((F.max("hour") + F.expr("INTERVAL 9 DAYS")).alias("hour")).select(F.lit("clock").alias("city_slug"), "hour")
+    for some in [*_pieces(hours, "hour"), clock]:
+        some.write.mode("append").parquet(f"{root}/in")
+        stream = J.file_stream(spark, f"{root}/in", hours.schema, "parquet")
+        M.run_sessions(M.reading_sessions(stream, ["city_slug"], "hour", 3600, "6 hours"), f"{root}/state", f"{root}/runs", ["city_slug"])
+    closed = spark.read.parquet(f"{root}/runs").where("city_slug <> 'clock'")
+    return M.outages(closed, ["city_slug"], 3600)
+
+
 P_SCHEMA = "city string, body string"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
+import random
 import time
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -232,6 +234,73 @@ def search(
     return sorted(trials, key=lambda t: (t["val_mse"] is None, t["val_mse"]))
 
 
+# What the forest search draws from.
+FOREST_RANGES = {"numTrees": ("int", 50, 300), "maxDepth": ("int", 5, 30), "minInstancesPerNode": ("int", 1, 10)}
+
+
+def draw_trials(ranges: dict[str, tuple[str, float, float]], trials: int, seed: int) -> list[dict]:
+    """``trials`` settings drawn from the ranges: ``int`` evenly from whole numbers, ``log_int`` and ``log`` evenly
+    from orders of size. The same seed gives the same settings, and fewer trials are the first of more."""
+    dice = random.Random(seed)
+    out = []
+    for _ in range(trials):
+        drawn = {}
+        for name, (kind, low, high) in ranges.items():
+            if kind == "int":
+                drawn[name] = dice.randint(int(low), int(high))
+            elif kind in ("log", "log_int"):
+                x = math.exp(dice.uniform(math.log(low), math.log(high)))
+                drawn[name] = min(int(high), max(int(low), round(x))) if kind == "log_int" else x
+            else:
+                raise ValueError(f"no such range: {kind}")
+        out.append(drawn)
+    return out
+
+
+def search_halving(
+    frame: DataFrame,
+    s: Series,
+    features: Sequence[str],
+    target: str,
+    horizons: Sequence[int],
+    spec: str,
+    ranges: dict[str, tuple[str, float, float]] = FOREST_RANGES,
+    trials: int = 20,
+    shares: Sequence[float] = (1 / 9, 1 / 3, 1.0),
+    keep: int = 3,
+    seed: int = 42,
+    parallelism: int = 4,
+) -> list[dict]:
+    """Random search with successive halving: every setting learns from the leading ``shares[0]`` of the training part,
+    one in ``keep`` of them, the best on the validation part, from the next share, and so on; the last share is 1.
+
+    Gives a row per setting and round in the order of rounds, best first: ``trial`` (its number), its parameters,
+    ``round``, ``share``, ``val_mse`` (null where too few rows were left; such a setting comes last)."""
+    if list(shares) != sorted(shares) or shares[-1] != 1.0:
+        raise ValueError("shares must rise to 1")
+    drawn = dict(enumerate(draw_trials(ranges, trials, seed)))
+    val, alive, out = frame.where("split = 'val'"), list(drawn), []
+    for turn, share in enumerate(shares):
+        part = (F.col("split") == "train") & (F.col("_pos") < F.floor(F.col("_to") * F.lit(float(share))))
+
+        def score(trial: int, part: Column = part) -> float | None:
+            try:
+                models = fit_direct(frame, s, features, target, horizons, spec, train=part, parallelism=1, **drawn[trial])
+            except TooFewRows:
+                return None
+            scored = predict_direct(models, val, s, target)
+            rmse = regression_metrics(scored, [], "actual", "predicted").first()["rmse"]
+            return None if rmse is None else rmse**2
+
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            errors = dict(zip(alive, pool.map(score, alive)))
+        alive = sorted(alive, key=lambda t: (errors[t] is None, errors[t], t))
+        out += [{"trial": t, **drawn[t], "round": turn, "share": share, "val_mse": errors[t]} for t in alive]
+        if share < 1.0:
+            alive = alive[: max(1, -(-len(alive) // keep))]
+    return out
+
+
 def fit_specs(
     frame: DataFrame,
     s: Series,

@@ -235,17 +235,30 @@ def m12(spark, d):
     return baseline(spark, d)
 
 
-@query("m13_parameter_search", "SELECT n AS trees, d AS depth, true AS scored FROM (SELECT unnest([2, 4, 6, 8, 10]) AS n), (SELECT unnest([2, 3, 4, 5]) AS d)")
+SHARES = (0.111, 0.333, 1.0)
+
+
+@query(
+    "m13_parameter_search",
+    cte("hgrid", extra=[SPAN_SQL])
+    + f"""SELECT r AS round, {r6('any_value(share)', 'share')}, any_value(trials) AS trials, true AS scored,
+ CAST(sum(greatest(least(floor(floor(len * 0.7::DOUBLE) * share), floor(len * 0.7::DOUBLE) - 1) - 24, 0)) AS BIGINT) AS train_rows,
+ CAST(sum(greatest(val_to - val_from, 0)) AS BIGINT) AS val_rows
+ FROM sz, (SELECT unnest([0, 1, 2]) AS r, unnest([{", ".join(f"{x}::DOUBLE" for x in SHARES)}]) AS share, unnest([20, 7, 3]) AS trials) GROUP BY r""",
+)
 def m13(spark, d):
-    """Twenty forests on the training part, scored on the validation part."""
+    """Twenty seeded draws of small forests over three growing shares; the counts are those of the rows used."""
     frame, names = _frame(spark, d, (1,))
-    grid = {"numTrees": [2, 4, 6, 8, 10], "maxDepth": [2, 3, 4, 5]}
-    trials = P.search(frame, HOURLY, names, "us_aqi", (1,), "random_forest", grid)
-    errors = [t["val_mse"] for t in trials]
-    return spark.createDataFrame(
-        [(t["numTrees"], t["maxDepth"], t["val_mse"] > 0 and errors == sorted(errors)) for t in trials],
-        "trees int, depth int, scored boolean",
-    )
+    ranges = {"numTrees": ("int", 2, 10), "maxDepth": ("int", 2, 5), "minInstancesPerNode": ("int", 1, 10)}
+    trials = P.search_halving(frame, HOURLY, names, "us_aqi", (1,), "random_forest", ranges, shares=SHARES, parallelism=8)
+    val_rows = frame.where("split = 'val' AND us_aqi_h1 IS NOT NULL").count()
+    out = []
+    for turn, share in enumerate(SHARES):
+        part = (F.col("_pos") < F.floor(F.col("_to") * share)) & (F.col("_pos") + 1 < F.col("_to"))
+        rows = frame.where("split = 'train' AND us_aqi_h1 IS NOT NULL").where(part).count()
+        errors = [t["val_mse"] for t in trials if t["round"] == turn]
+        out.append((turn, share, len(errors), None not in errors and errors == sorted(errors), rows, val_rows))
+    return spark.createDataFrame(out, "round int, share double, trials int, scored boolean, train_rows long, val_rows long")
 
 
 MATRIX = ["linear", "sarima", "lightgbm"]

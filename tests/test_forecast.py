@@ -187,3 +187,32 @@ def test_each_city_is_forecast_by_its_own_best_model(spark):
             assert r["horizon_timestamp"].timestamp() == (last + pd.Timedelta(hours=r["horizon_hours"])).timestamp()
     none = P.best_model_forecasts(df, TINY, ["x"], "x", (1,), ["nope"], "v1", city="k")
     assert none[1].count() == 0 and {r["status"] for r in none[0].collect()} == {"skipped"}
+
+
+def test_draws_are_seeded_and_within_their_ranges():
+    ranges = {**P.FOREST_RANGES, "stepSize": ("log", 1e-3, 1.0), "maxBins": ("log_int", 2, 512)}
+    many = P.draw_trials(ranges, 400, 7)
+    assert P.draw_trials(ranges, 20, 7) == many[:20] != P.draw_trials(ranges, 20, 8)
+    for name, (_, low, high) in ranges.items():
+        values = [t[name] for t in many]
+        assert min(values) >= low and max(values) <= high and len(set(values)) > 5
+    assert 0.3 < np.mean([t["stepSize"] < 10**-1.5 for t in many]) < 0.7
+    with pytest.raises(ValueError):
+        P.draw_trials({"x": ("even", 1, 2)}, 1, 1)
+
+
+def test_halving_keeps_the_setting_that_the_full_search_finds(spark):
+    hours = np.arange(500)
+    x = 50 + 20 * np.sin(hours * np.pi / 12) + np.random.default_rng(1).normal(0, 1, 500)
+    pdf = pd.DataFrame({"k": "a", "ts": START + pd.to_timedelta(hours, unit="h"), "x": x})
+    frame, names = P.supervised_frame(to_spark(spark, pdf), TINY, ["x"], "x", (1,))
+    ranges = {"numTrees": ("int", 1, 12), "maxDepth": ("int", 1, 6)}
+    full = P.search_halving(frame, TINY, names, "x", (1,), "random_forest", ranges, trials=6, shares=(1.0,), seed=3)
+    halved = P.search_halving(frame, TINY, names, "x", (1,), "random_forest", ranges, trials=6, shares=(0.5, 1.0), keep=2, seed=3)
+    assert [t["round"] for t in halved] == [0] * 6 + [1] * 3
+    last = [t for t in halved if t["round"] == 1]
+    assert last[0]["trial"] == full[0]["trial"] and last[0]["val_mse"] == pytest.approx(full[0]["val_mse"])
+    assert [t["val_mse"] for t in last] == sorted(t["val_mse"] for t in last)
+    assert {t["trial"] for t in last} == {t["trial"] for t in halved[:3]}
+    few = P.search_halving(frame, TINY, names, "x", (1,), "random_forest", ranges, trials=2, shares=(0.001, 1.0), seed=3)
+    assert [t["val_mse"] for t in few[:2]] == [None, None] and few[2]["val_mse"] is not None

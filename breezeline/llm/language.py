@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -19,15 +18,21 @@ from breezeline.session import materialise
 ship(__name__)
 
 _CACHED_WORDS = 1 << 16  # words whose values a Python worker keeps at hand
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_WORD = re.compile(f"[^\\W_{_NUMBERS}]+")  # letters: no number signs such as fractions and raised digits
-_EDGE = re.compile(f"[\\W_{_NUMBERS}]")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, but also number signs such as fractions and raised digits
+_EDGE = re.compile(r"[\W\d_]")
 WORD = 0  # order of whole words in the count table; n-grams have their length
 
 
+def _letters(words: list[str]) -> list[str]:
+    """The words cut at number signs; nearly all have none."""
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,))]
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    return _letters(_WORD.findall(text.lower()))
 
 
 def word_parts(text: str, chars: int = 1 << 16) -> Iterator[list[str]]:
@@ -37,7 +42,7 @@ def word_parts(text: str, chars: int = 1 << 16) -> Iterator[list[str]]:
     while start < len(text):
         edge = _EDGE.search(text, start + chars)
         stop = edge.start() if edge else len(text)
-        yield _WORD.findall(text, start, stop)
+        yield _letters(_WORD.findall(text, start, stop))
         start = stop
 
 

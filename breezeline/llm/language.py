@@ -52,16 +52,14 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _counts(orders: int, flush: int = 100_000):
-    """Counts of words and n-grams of each task's texts; handed on whenever there are ``flush`` of them."""
+def _rows(counts: Counter) -> pa.RecordBatch:
+    langs, kinds, grams = zip(*counts) if counts else ((), (), ())
+    columns = [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "gram", "c"])
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        langs, kinds, grams = zip(*counts) if counts else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()),
-             pa.array(list(counts.values()), pa.int64())],
-            names=["lang", "n", "gram", "c"],
-        )
+
+def _word_counts(flush: int = 100_000):
+    """Counts of the words of each task's texts; handed on whenever there are ``flush`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -73,13 +71,28 @@ def _counts(orders: int, flush: int = 100_000):
                     seen.update(part)
                 for word, c in seen.items():
                     counts[lang, WORD, word] += c
-                    for n in range(1, orders + 1):
-                        for gram in grams_of(word, n):
-                            counts[lang, n, gram] += c
-                    if len(counts) >= flush:
-                        yield rows(counts)
-                        counts = Counter()
-        yield rows(counts)
+                if len(counts) >= flush:
+                    yield _rows(counts)
+                    counts = Counter()
+        yield _rows(counts)
+
+    return run
+
+
+def _gram_counts(orders: int, flush: int = 100_000):
+    """Counts of the n-grams of words, each word taken once with its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for lang, word, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for n in range(1, orders + 1):
+                    for gram in grams_of(word, n):
+                        counts[lang, n, gram] += c
+                if len(counts) >= flush:
+                    yield _rows(counts)
+                    counts = Counter()
+        yield _rows(counts)
 
     return run
 
@@ -161,7 +174,8 @@ def fit(
     Two bounds: about ``sample_rows`` rows are learned from, chosen by a hash of id and text (all of them if there are
     fewer), and about ``model_entries`` words and n-grams are kept, the same share for each language and length. The
     least count that keeps to the share is read off a histogram of counts, so nothing is sorted and ties at the edge
-    fall together. Counting runs on the executors; only the kept entries reach the driver."""
+    fall together. Counting runs on the executors, n-grams once per distinct word; only the kept entries reach the
+    driver."""
     text = F.col(text_col).cast("string")
     labelled = docs.select(
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("dice")
@@ -169,8 +183,11 @@ def fit(
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     share = min(1.0, sample_rows / max(1, labelled.count()))
     sample = labelled.filter(F.pmod(F.col("dice"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = sample.select("lang", "text").mapInArrow(_counts(orders), "lang string, n int, gram string, c long")
-    grams = materialise(counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
+    kinds = "lang string, n int, gram string, c long"
+    counted = sample.select("lang", "text").mapInArrow(_word_counts(), kinds)
+    words = materialise(counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
+    parts = words.select("lang", "gram", "c").mapInArrow(_gram_counts(orders), kinds)
+    grams = materialise(words.unionByName(parts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))))
     totals = {(r.lang, r.n): r.t for r in grams.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
     languages = sorted({lang for lang, _ in totals})
     room = max(1, model_entries // max(1, len(languages) * (orders + 1)))

@@ -121,3 +121,45 @@ def test_number_signs_are_no_letters(spark):
     for text in ("½ ² Ⅷ ③", "12 34", "_ __", "٣ ५"):
         assert language.words_of(text) == [] and model.predict(text) == ("und", 0.0)
     assert language.words_of("Ünd3x² 一二 x½y") == ["ünd", "x", "一二", "x", "y"]
+
+
+def plain_predictions(taught, texts, orders=5, penalty=7.0):
+    """The backoff over plain dictionaries of the whole counts."""
+    counts = {}
+    for text, lang in taught:
+        for word in language.words_of(text):
+            for n, gram in [(0, word)] + [(n, g) for n in range(1, orders + 1) for g in language.grams_of(word, n)]:
+                own = counts.setdefault((lang, n), {})
+                own[gram] = own.get(gram, 0) + 1
+    langs = sorted({lang for lang, _ in counts})
+
+    def value(lang, n, gram):
+        own = counts.get((lang, n), {})
+        return min(penalty, -np.log10(own[gram] / sum(own.values()))) if gram in own else penalty
+
+    def word_values(word):
+        if any(word in counts.get((lang, 0), {}) for lang in langs):
+            return [value(lang, 0, word) for lang in langs]
+        for n in range(orders, 0, -1):
+            known = [g for g in language.grams_of(word, n) if any(g in counts.get((lang, n), {}) for lang in langs)]
+            if known:
+                return [np.mean([value(lang, n, g) for g in known]) for lang in langs]
+        return [penalty] * len(langs)
+
+    out = []
+    for text in texts:
+        words = language.words_of(text or "")
+        total = np.sum([word_values(w) for w in words], axis=0) if words else None
+        out.append(("und", 0.0) if total is None else (langs[int(np.argmin(total))], 1 / np.sum(10.0 ** (total.min() - total))))
+    return out
+
+
+def test_predictions_equal_plain_dictionaries(spark):
+    dice = random.Random(12)
+    taught = [(prose(dice, lang, dice.randrange(1, 40)), lang) for lang in ("en", "fr") for _ in range(30)]
+    texts = [prose(dice, dice.choice(["en", "fr"]), dice.randrange(1, 6)) for _ in range(60)] + [None, "", "qqqq zz", "½", "the the"]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(taught)], "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(frame)
+    for text, (lang, score) in zip(texts, plain_predictions(taught, texts)):
+        got = model.predict(text)
+        assert got[0] == lang and abs(got[1] - score) < 1e-9

@@ -66,3 +66,31 @@ def test_the_mix_repeats_rows(spark):
 def test_no_documents(spark):
     assert mixing.mix(no_documents(spark)).count() == 0
     assert mixing.mixed_documents(no_documents(spark)).count() == 0
+
+
+def test_thresholds_equal_a_walk_over_sorted_hashes(spark):
+    text = "array_join(transform(sequence(1, 1 + cast(pmod(xxhash64(id), 40) AS int)), x -> 'w'), ' ')"
+    source = "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 31 = 0 THEN NULL ELSE concat('s', id % 5) END"
+    many = spark.range(3000).selectExpr("id % 2900 AS doc_id", f"{text} AS text", f"{source} AS source")
+    for docs in (documents(spark), many):
+        hashed = docs.selectExpr("doc_id", "text", "source", "xxhash64(doc_id, text) AS h").collect()
+        sizes = defaultdict(int)
+        for r in hashed:
+            sizes[r.source] += words(r.text)
+        targets = mixing.capped_targets(dict(sizes), mixing.cycled_weights(list(sizes)))
+        copies = {}
+        for s, n in sizes.items():
+            full = min(3, int(targets[s] // n)) if n else 0
+            rest, sums = targets[s] - full * n, defaultdict(int)
+            for r in hashed:
+                if r.source == s:
+                    sums[r.h % 2**64] += words(r.text)
+            done, open_ = 0, bool(n) and full < 3
+            for h in sorted(sums):
+                once = open_ and done + sums[h] <= rest
+                if open_ and not once:
+                    once, open_ = 2 * (rest - done) >= sums[h], False
+                done += sums[h]
+                copies[s, h] = full + once
+        want = sorted((str(r.doc_id), words(r.text), copies[r.source, r.h % 2**64]) for r in hashed)
+        assert sorted((str(r.doc_id), r["size"], r.copies) for r in mixing.mix(docs).collect()) == want

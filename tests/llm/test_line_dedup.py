@@ -68,3 +68,66 @@ def test_no_documents(spark):
 def test_no_python_on_the_executors(spark):
     plan = line_dedup.drop_repeated_lines(documents(spark))._jdf.queryExecution().toString()
     assert not [x for x in ("ArrowEval", "MapInPandas", "MapInArrow", "BatchEvalPython") if x in plan]
+
+
+def batch(spark, low, high):
+    return spark.range(low, high).selectExpr("id AS doc_id", "id * 7919 % 1000003 AS h1", "-id AS h2", "id AS owner")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_neither_sorts_nor_shuffles_a_run(spark):
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    try:
+        for i in range(4):  # one compaction
+            runs.push(runs.admit(batch(spark, i * 1000, i * 1000 + 1100)))
+        assert [len(level) for level in runs.levels] == [1, 1]
+        assert sorted(spark.table(n).count() for level in runs.levels for n in level) == [1000, 3100]
+        incoming = runs._write(runs._dealt(batch(spark, 3900, 5000).drop("doc_id")))
+        with runs.trusting_order():
+            merge = plan(runs.unseen(spark.table(incoming)))
+        assert merge.count("SortMergeJoin") == 2 and "Exchange" not in merge and "Sort [" not in merge
+        assert runs.unseen(spark.table(incoming)).count() == 900
+        files = spark.read.parquet(f"{runs.path}/{runs.levels[1][0]}").inputFiles()
+        assert len(files) == len({f.rsplit("_", 1)[1] for f in files}) == runs.width
+    finally:
+        runs.close()
+
+
+def test_a_later_session_opens_the_runs(spark):
+    path = line_dedup.scratch_path(spark, "runs-test")
+    first = line_dedup.LineRuns(spark, fanout=2, path=path)
+    assert first.levels == []
+    for i in range(3):
+        first.push(first.admit(batch(spark, i * 10, i * 10 + 12)))
+    state = first.levels
+    first.leave()
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "7")  # the width stays that of the runs
+    later = line_dedup.LineRuns(other, fanout=2, path=path)
+    assert later.levels == state and later.width == 4
+    name = later.admit(batch(other, 20, 40))
+    assert sorted(r.owner for r in later.owners(name).collect()) == list(range(32, 40))
+    later.push(name)
+    assert [len(level) for level in later.levels] == [0, 0, 1]
+    assert other.table(later.levels[2][0]).count() == 40
+    later.close()
+    fs, where = later._folder()
+    assert not fs.exists(where)
+
+
+def test_a_failed_job_leaves_no_tables(spark, monkeypatch):
+    def fail(lines, runs):
+        runs.admit(lines)
+        raise ArithmeticError
+
+    def tables():
+        return {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")}
+
+    before = tables()
+    monkeypatch.setattr(line_dedup, "batch_drops", fail)
+    with pytest.raises(ArithmeticError):
+        line_dedup.drop_repeated_lines(documents(spark))
+    assert tables() == before

@@ -155,9 +155,9 @@ class LineRuns:
         return hashes.repartition(self.width, "h1", "h2")
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """The rows of several runs, bucket beside bucket. The filters make rows of the reader's columns: a union of
-        columns would put the buckets one after another instead."""
-        parts = [self.spark.table(name).filter("h1 IS NOT NULL") for name in names]
+        """The rows of several runs, bucket beside bucket. The filters, which all rows pass, make rows of the reader's
+        columns and leave the columns' types: a union of columns would put the buckets one after another instead."""
+        parts = [self.spark.table(name).filter("h1 IS NOT NULL OR h2 IS NOT NULL") for name in names]
         return reduce(DataFrame.unionAll, parts)
 
     def push(self, new: str) -> None:

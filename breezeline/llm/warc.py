@@ -22,7 +22,6 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest
 _END = b"\r\n\r\n"
 _FIRST, _PIECE = 1 << 12, 1 << 16
 _DIGESTS = ("md5", "sha1", "sha256", "sha384", "sha512")
-_FRAMING = ("no WARC header", "no Content-Length", "Content-Length does not fit")
 _ID = "urn:page:"
 
 
@@ -127,6 +126,14 @@ class Damaged(ValueError):
     """A record whose bytes do not keep to the format or to its digests."""
 
 
+class _Unframed(Damaged):
+    """The end of a record is unknown."""
+
+
+class _Unpackable(Damaged):
+    """A member cannot be inflated, so the rest of its file cannot be found."""
+
+
 class _Members:
     """The bytes of an archive, inflated in bounded steps, one gzip member at a time. Zero bytes between members and at
     the end are skipped; bytes that are not packed are one plain member up to the end of the file."""
@@ -159,13 +166,13 @@ class _Members:
             try:
                 out = self.unpack.decompress(taken, _PIECE)
             except zlib.error as problem:
-                raise Damaged(f"a member cannot be inflated: {problem}") from None
+                raise _Unpackable(f"a member cannot be inflated: {problem}") from None
             rest = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
             self.at += len(taken) - len(rest)
             if out:
                 return out
             if not taken and not self.unpack.eof:
-                raise Damaged("a member ends too early")
+                raise _Unpackable("a member ends too early")
 
     def more(self) -> bool:
         """Whether the member has bytes left."""
@@ -190,7 +197,7 @@ class _Members:
         """The next ``size`` bytes, piece by piece."""
         while size:
             if not self.more():
-                raise Damaged("Content-Length does not fit")
+                raise _Unframed("Content-Length does not fit")
             out = bytes(self.ready[:size])
             del self.ready[: len(out)]
             size -= len(out)
@@ -207,7 +214,7 @@ def members(data: bytes) -> Iterator[bytes]:
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
-        raise Damaged("no WARC header")
+        raise _Unframed("no WARC header")
     fields, name = {}, None
     for line in lines[1:]:
         if line[:1] in (" ", "\t") and name:  # a long value goes on
@@ -251,11 +258,11 @@ def _record(source: _Members, with_payload: bool) -> dict:
     frames the block; digests are held against the bytes, the payload's not in a revisit, which has none."""
     head = source.until(_END)
     if head is None:
-        raise Damaged("no WARC header")
+        raise _Unframed("no WARC header")
     fields = _fields(head)
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
-        raise Damaged("no Content-Length")
+        raise _Unframed("no Content-Length")
     http = bytearray() if fields.get("content-type", "").lower().startswith("application/http") else None
     again = fields.get("warc-type") == "revisit"
     faults, block, payload = [], None, None
@@ -283,7 +290,7 @@ def _record(source: _Members, with_payload: bool) -> dict:
         if with_payload:
             kept.append(piece)
     if b"".join(source.take(len(_END))) != _END:
-        raise Damaged("Content-Length does not fit")
+        raise _Unframed("Content-Length does not fit")
     if faults:
         raise faults[0]
     if block.wanted not in (None, block.sum.digest()):
@@ -303,10 +310,10 @@ def parse(record: bytes) -> dict:
     """Header fields, size and payload of the one record that the bytes hold."""
     source = _Members(record)
     if not source.next_member() or not source.plain:
-        raise Damaged("no WARC header")
+        raise _Unframed("no WARC header")
     found = _record(source, True)
     if source.more():
-        raise Damaged("Content-Length does not fit")
+        raise _Unframed("Content-Length does not fit")
     return found
 
 
@@ -319,10 +326,13 @@ def records(data: bytes | memoryview, with_payload: bool = True) -> Iterator[dic
             while source.more():
                 try:
                     yield _record(source, with_payload)
+                except _Unpackable:
+                    raise
+                except _Unframed as problem:
+                    yield problem
+                    break
                 except Damaged as problem:
                     yield problem
-                    if str(problem) in _FRAMING:
-                        break
             while source.piece():
                 pass
         except Damaged as problem:

@@ -133,8 +133,14 @@ def test_each_fault_is_one_row_and_reading_goes_on():
     for bad, told in [(short, "Content-Length does not fit"), (b"junk", "no WARC header"), (b"WARC/1.0\r\n\r\n", "no Content-Length")]:
         first, second = warc.records(gzip.compress(bad) + b"\0\0" + gzip.compress(good))
         assert str(first) == told and second["payload"] == PAYLOAD
-    found = list(warc.records(gzip.compress(good) + gzip.compress(good)[:-20]))
-    assert found[0]["payload"] == PAYLOAD and isinstance(found[1], warc.Damaged)
+    packed = gzip.compress(good)
+    for cut in (11, 60, len(packed) - 20, len(packed) - 3):  # in the header, in the block, in the member's end
+        found = list(warc.records(packed + packed[:cut]))
+        assert found[0]["payload"] == PAYLOAD and isinstance(found[-1], warc.Damaged)
+        assert len([x for x in found if isinstance(x, warc.Damaged)]) == 1
+    broken = bytearray(packed)
+    broken[40:60] = b"\xff" * 20
+    assert [type(x).__name__ for x in warc.records(bytes(broken) + packed)] == ["_Unpackable"]
     assert [str(x) for x in warc.records(b"no archive at all")][0].startswith("a member cannot be inflated")
     assert not list(warc.records(b"")) and not list(warc.records(b"\0\0"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from breezeline.functions.numeric import to_double
 from breezeline.operators.rank import first_per_key
 from breezeline.schema import METRICS, RAW_OBSERVATIONS, require_columns
+from breezeline.session import materialise
 
 
 def parse_time(x: Column | str, strict: bool = True) -> Column:
@@ -104,8 +105,12 @@ def rename_sensor_fields(df: DataFrame) -> DataFrame:
 
 
 def trailing_days(df: DataFrame, keys: Sequence[str], ts: str, days: int = 365) -> DataFrame:
-    """Rows within ``days`` of the newest row of their own series."""
-    newest = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
+    """Rows within ``days`` of the newest row of their own series.
+
+    The newest times, one row per series, are found first and written out. A join with the bare aggregate is
+    planned before its size is known, deals all rows out by key, and puts a whole series into one task that AQE
+    does not split; with the table, few series go to the rows, and a join of many is one that AQE can split."""
+    newest = materialise(df.groupBy(*keys).agg(F.max(ts).alias("_newest")))
     edge = F.col("_newest") - F.make_dt_interval(F.lit(days))
     return df.join(newest, list(keys)).where(F.col(ts) >= edge).drop("_newest")
 

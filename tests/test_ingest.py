@@ -334,3 +334,33 @@ def test_publishing_makes_a_sender_per_partition_and_sends_batches(spark, tmp_pa
     with pytest.raises(Exception, match="the receiver is gone"):
         S.publish(payload, broken)
     S.publish(payload.limit(0), broken)  # no rows, no sender
+
+
+@pytest.mark.parametrize("threshold", ["12000", "-1"])
+def test_trailing_days_never_puts_a_series_into_one_task(spark, tmp_path, threshold):
+    start, n = at("2020-01-01"), 20_000
+    hot = F.timestamp_add("HOUR", F.col("id"), F.lit(start))
+    few = [("cold", at("2010-01-01"), -1), ("cold", at("2011-01-01"), -2), ("cold", at("2011-01-01"), -3), (None, start, -4), ("hot", None, -5), ("unknown", None, -6)]
+    rows = spark.range(n).repartition(8).select(F.lit("hot").alias("k"), hot.alias("ts"), "id")
+    rows.unionByName(spark.createDataFrame(few, "k string, ts timestamp, id long")).write.parquet(f"{tmp_path}/rows")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": threshold,
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        whole = C.trailing_days(spark.read.parquet(f"{tmp_path}/rows"), ["k"], "ts", days=800)
+        got = whole.select("k", "ts", "id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert whole.columns == ["k", "ts", "id"]
+    kept = {r["id"]: r["k"] for r in got}
+    assert len(kept) == len(got) == 800 * 24 + 1 + 3
+    assert kept == {**{i: "hot" for i in range(n - 1 - 800 * 24, n)}, **{i: "cold" for i in (-1, -2, -3)}}
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(got) / 2
